@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import leakage
+from . import leakage, truncation
 
 
 def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,8 +25,16 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_overlaps(spark, sf_dir).where("exact_hits > 0").select("doc_id", "case_id").distinct()
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.truncated_texts(table(spark, sf_dir, "documents")).where("truncated").select("doc_id")
+
+
+def p9_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.truncation_by_source(truncation.truncated_texts(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p8_found": p8_found, "p8_overlaps": p8_overlaps}
+    return {"p8_found": p8_found, "p8_overlaps": p8_overlaps, "p9_found": p9_found, "p9_sources": p9_sources}
 
 
 def oracle_sql() -> dict[str, str]:
