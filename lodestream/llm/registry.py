@@ -8,7 +8,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import leakage, truncation
+from . import leakage, lookalike, packing, truncation
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.lookalike_pairs(table(spark, sf_dir, "bulk_mock_posts"), "id", ("content", "title")).distinct()
+
+
+def p5_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    posts = table(spark, sf_dir, "bulk_mock_posts").dropDuplicates(["id"])
+    return lookalike.consistent_forms(posts, "id", ("content", "title")).where("stored <> form")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"))
+    return packed.where("piece = 1").select("doc_id")
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers are, with sizes of a public tokenizer."""
+    path = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path=path)
+    return packed.where("container IS NOT NULL").agg(
+        F.countDistinct("container").alias("containers"),
+        F.sum("tokens").alias("tokens"),
+        (F.sum("tokens") / (1024 * F.countDistinct("container"))).alias("share_filled"),
+    )
 
 
 def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +59,7 @@ def p9_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p8_found": p8_found, "p8_overlaps": p8_overlaps, "p9_found": p9_found, "p9_sources": p9_sources}
+    return {"p5_found": p5_found, "p5_forms": p5_forms, "p7_found": p7_found, "p7_fill": p7_fill, "p8_found": p8_found, "p8_overlaps": p8_overlaps, "p9_found": p9_found, "p9_sources": p9_sources}
 
 
 def oracle_sql() -> dict[str, str]:

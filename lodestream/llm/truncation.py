@@ -96,7 +96,7 @@ def truncated_texts(
     inside = cut(spark.sql(_INSIDE, tokens=tokens(base.select("text"))))
     # the end needs only the text's last stretch, and its identity
     tail = spark.sql(
-        "SELECT doc_id, source, xxhash64(text) AS body, trim(TRAILING '\\n\\t\\r ' FROM regexp_replace(right(text, 400), :marks, '')) AS text FROM {docs} WHERE text IS NOT NULL",
+        "SELECT doc_id, source, xxhash64(text) AS body, trim(TRAILING '\\n\\t\\r ' FROM regexp_replace(right(text, 2000), :marks, '')) AS text FROM {docs} WHERE text IS NOT NULL",
         args={"marks": f"(?i){MARKS}"}, docs=base,
     )
     ends = spark.sql(_ENDS, args={"letter": r"^[\p{L}\p{M}]"}, tokens=tokens(tail))
