@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import timestamps
-from ..session import table
+from ..operators import hierarchy, timestamps
+from ..session import cut, table
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,8 +16,24 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.where("status = 'resolved'").select("id", "utc_ms")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree = hierarchy.hierarchy(table(spark, sf_dir, "bulk_mock_posts").select("id", "parent_id"))
+    return tree.where("parent IS NOT NULL").selectExpr("id", "root AS root_id", "depth")
+
+
+def p4_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hierarchy.paths(hierarchy.hierarchy(table(spark, sf_dir, "bulk_mock_posts").select("id", "parent_id")))
+
+
+def p4_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All descendants of the posts whose number is divisible by 100."""
+    posts = table(spark, sf_dir, "bulk_mock_posts").select("id", "parent_id")
+    wanted = posts.where("try_cast(regexp_extract(id, '([0-9]+)$', 1) AS bigint) % 100 = 0")
+    return hierarchy.descendants(cut(hierarchy.hierarchy(posts)), wanted)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found}
+    return {"p3_found": p3_found, "p4_found": p4_found, "p4_paths": p4_paths, "p4_descendants": p4_descendants}
 
 
 def oracle_sql() -> dict[str, str]:
