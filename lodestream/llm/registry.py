@@ -8,7 +8,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import leakage, lookalike, packing, truncation
+from . import leakage, lookalike, packing, splitting, truncation
+
+
+ITEMS = (("media_response_faq", "faq_id", "updated_at"), ("rag_document", "doc_key", "loaded_at"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = []
+    for name, key, _ in ITEMS:
+        pieces = splitting.split_items(table(spark, sf_dir, name), key, "content")
+        parts.append(pieces.where("piece = 1").select(F.lit(name).alias("item_table"), F.col(key).alias("item_id")))
+    return parts[0].unionByName(parts[1]).distinct()
+
+
+def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of the latest row of each item."""
+    parts = []
+    for name, key, at in ITEMS:
+        latest = table(spark, sf_dir, name).groupBy(key).agg(F.max_by("content", at).alias("content"))
+        parts.append(splitting.split_items(latest, key, "content").withColumnRenamed(key, "item_id").withColumn("item_table", F.lit(name)))
+    return parts[0].unionByName(parts[1])
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +79,7 @@ def p9_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p5_found": p5_found, "p5_forms": p5_forms, "p7_found": p7_found, "p7_fill": p7_fill, "p8_found": p8_found, "p8_overlaps": p8_overlaps, "p9_found": p9_found, "p9_sources": p9_sources}
+    return {"p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found, "p5_forms": p5_forms, "p7_found": p7_found, "p7_fill": p7_fill, "p8_found": p8_found, "p8_overlaps": p8_overlaps, "p9_found": p9_found, "p9_sources": p9_sources}
 
 
 def oracle_sql() -> dict[str, str]:
