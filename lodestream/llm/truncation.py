@@ -94,12 +94,13 @@ def truncated_texts(
     patterns = {"listed": LISTED, "token": TOKEN}
     tokens = lambda d: spark.sql(_TOKENS, args=patterns, docs=d)
     inside = cut(spark.sql(_INSIDE, tokens=tokens(base.select("text"))))
-    # the end needs only the text's last stretch, and its identity
+    # the end needs only the text's last stretch, and its identity; marks only the last of that
     tail = spark.sql(
-        "SELECT doc_id, source, xxhash64(text) AS body, trim(TRAILING '\\n\\t\\r ' FROM regexp_replace(right(text, 2000), :marks, '')) AS text FROM {docs} WHERE text IS NOT NULL",
+        """SELECT doc_id, source, body, trim(TRAILING '\\n\\t\\r ' FROM concat(left(t, greatest(length(t) - 80, 0)), regexp_replace(right(t, 80), :marks, ''))) AS text
+           FROM (SELECT doc_id, source, xxhash64(text) AS body, right(text, 1000) AS t FROM {docs} WHERE text IS NOT NULL)""",
         args={"marks": f"(?i){MARKS}"}, docs=base,
     )
-    ends = spark.sql(_ENDS, args={"letter": r"^[\p{L}\p{M}]"}, tokens=tokens(tail))
+    ends = cut(spark.sql(_ENDS, args={"letter": r"^[\p{L}\p{M}]"}, tokens=tokens(tail)))
     judged = spark.sql(_JUDGED, args={"weight": weight, "sign_weight": sign_weight, "prior": prior}, ends=ends, inside=inside)
     return spark.sql(
         "SELECT e.doc_id, e.source, j.end_rate, j.end_rate < :rate AS truncated FROM {ends} e JOIN {judged} j USING (pair, last, kind)",
