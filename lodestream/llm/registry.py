@@ -8,7 +8,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import leakage, lookalike, packing, splitting, truncation
+from . import language, leakage, lookalike, packing, splitting, truncation
+
+
+def _post_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language segments of every post, keyed by (id, label); no text is shuffled."""
+    posts = table(spark, sf_dir, "bulk_mock_posts").select("id", F.col("metadata.language").alias("label"), "content")
+    sample = language.labelled_sample(table(spark, sf_dir, "documents"), "lang", "text", "doc_id", 300)
+    sample += language.labelled_sample(posts.dropDuplicates(["id"]), "label", "content", "id", 1000)
+    keyed = posts.select(F.struct("id", "label").alias("key"), "content")
+    return language.language_segments(keyed, "key", "content", language.build_dictionaries(sample))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = _post_languages(spark, sf_dir).where("lang IS NOT NULL").groupBy("key.id").agg(
+        F.collect_set("lang").alias("langs"), F.first("key.label").alias("label")
+    )
+    label = language.label_language(F.col("label"))
+    wrong = label.isNull() | ~F.array_contains("langs", label) | (F.size("langs") > 1)
+    return told.where(wrong).select("id", F.explode("langs").alias("lang"))
+
+
+def p1_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _post_languages(spark, sf_dir).select("key.id", "segment", "start", "end", "lang", "confidence").distinct()
 
 
 ITEMS = (("media_response_faq", "faq_id", "updated_at"), ("rag_document", "doc_key", "loaded_at"))
@@ -79,7 +101,7 @@ def p9_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found, "p5_forms": p5_forms, "p7_found": p7_found, "p7_fill": p7_fill, "p8_found": p8_found, "p8_overlaps": p8_overlaps, "p9_found": p9_found, "p9_sources": p9_sources}
+    return {"p1_found": p1_found, "p1_segments": p1_segments, "p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found, "p5_forms": p5_forms, "p7_found": p7_found, "p7_fill": p7_fill, "p8_found": p8_found, "p8_overlaps": p8_overlaps, "p9_found": p9_found, "p9_sources": p9_sources}
 
 
 def oracle_sql() -> dict[str, str]:
