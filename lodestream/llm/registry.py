@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import language, leakage, lookalike, packing, splitting, truncation
+from . import language, leakage, lookalike, packing, personal, splitting, truncation
 
 
 def _post_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +62,23 @@ def p5_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.consistent_forms(posts, "id", ("content", "title")).where("stored <> form")
 
 
+def _personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    posts = personal.personal_information(table(spark, sf_dir, "bulk_mock_posts"), "id", ("content", "author"))
+    memories = personal.personal_information(table(spark, sf_dir, "memories"), "memory_id", ("content",))
+    a = posts.select(F.lit("bulk_mock_posts").alias("item_table"), F.col("id").alias("item_id"), "field", "redacted", "found")
+    return a.unionByName(memories.select(F.lit("memories").alias("item_table"), F.col("memory_id").alias("item_id"), "field", "redacted", "found"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = F.explode(F.array_distinct(F.transform("found", lambda x: x.type)))
+    return _personal(spark, sf_dir).select("item_table", "item_id", "field", kinds.alias("pii_type")).distinct()
+
+
+def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fields that hold personal data, with placeholders in its place."""
+    return _personal(spark, sf_dir).where(F.size("found") > 0).select("item_table", "item_id", "field", "redacted").distinct()
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(table(spark, sf_dir, "documents"))
     return packed.where("piece = 1").select("doc_id")
@@ -101,7 +118,7 @@ def p9_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_segments": p1_segments, "p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found, "p5_forms": p5_forms, "p7_found": p7_found, "p7_fill": p7_fill, "p8_found": p8_found, "p8_overlaps": p8_overlaps, "p9_found": p9_found, "p9_sources": p9_sources}
+    return {"p1_found": p1_found, "p1_segments": p1_segments, "p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found, "p5_forms": p5_forms, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p7_fill": p7_fill, "p8_found": p8_found, "p8_overlaps": p8_overlaps, "p9_found": p9_found, "p9_sources": p9_sources}
 
 
 def oracle_sql() -> dict[str, str]:
