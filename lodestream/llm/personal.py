@@ -358,7 +358,8 @@ def _plausible(span: str, kind: str) -> bool:
         return digits > 0 and any(c.isalpha() for c in s)
     dense = re.findall(rf"[{_DENSE}]", s)
     if digits or not dense:
-        return not digits and len(re.findall(r"[^\W\d_]{2,}", s)) >= 2
+        opening = re.match(r"(?i)(?:in|en|em|im|am|aus|bei|from|at|to|à)\s", s)
+        return not digits and not opening and len(re.findall(r"[^\W\d_]{2,}", s)) >= 2
     chinese = 2 <= len(dense) <= 4 and (dense[0] in _SURNAME or "".join(dense[:2]) in labelled.COMPOUND_SURNAMES)
     return len(dense) + s.count(" ") == len(s) and (chinese or 3 + (" " not in s) <= len(dense) <= 8)
 
