@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 # Letters of other scripts that are drawn like a Latin letter, each followed by that letter.
 LOOKALIKES = (
     "аaеeоoрpсcуyхxѕsіiјjԁdһhԛqԝwѵvӏlүy"  # Cyrillic small
@@ -29,6 +31,8 @@ INVISIBLE = (
     r"[\x{00AD}\x{034F}\x{061C}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180F}\x{200B}\x{200C}\x{200D}\x{200E}\x{200F}"
     r"\x{202A}-\x{202E}\x{2060}-\x{206F}\x{3164}\x{FE00}-\x{FE0F}\x{FEFF}\x{FFA0}\x{FFF9}-\x{FFFB}\x{E0000}-\x{E0FFF}]+"
 )
+#: Full-width forms of the ASCII signs, and the two commonest spaces beside the plain one.
+WIDE = "".join(map(chr, range(0xFF01, 0xFF5F))) + chr(0x3000) + chr(0xA0)
 _PICTURE = r"[\x{2190}-\x{2BFF}\x{1F000}-\x{1FAFF}]"
 #: A joiner between pictures draws another picture; it is kept.
 JOINED = rf"({_PICTURE}[\x{{FE0F}}\x{{1F3FB}}-\x{{1F3FF}}]?)\x{{200D}}({_PICTURE})"
@@ -57,18 +61,32 @@ def compatibility_map() -> tuple[str, str, list[tuple[str, str]]]:
     return "".join(single), "".join(single.values()), ligatures
 
 
+def character_class(characters: str) -> str:
+    """A regular-expression class of the characters, by ranges of neighbours."""
+    points = sorted(map(ord, characters))
+    out, lo = [], points[0]
+    for a, b in zip(points, [*points[1:], None], strict=True):
+        if b != a + 1:
+            out.append(f"\\x{{{lo:X}}}-\\x{{{a:X}}}")
+            lo = b
+    return f"[{''.join(out)}]"
+
+
 def form_sql(column: str, marks: dict[str, str]) -> str:
-    """The SQL expression of a column's consistent form. marks: names of the statement's variables."""
+    """The SQL expression of a column's consistent form. marks: the statement's constants, as SQL literals."""
     s = f"regexp_replace({column}, {marks['joined']}, '\\1{_KEPT_JOINER}\\2', 'g')"
     s = f"regexp_replace({s}, {marks['invisible']}, '', 'g')"
+    # full-width forms are in most Chinese and Japanese texts; the long table is built only for texts that hold others
+    s = f"translate({s}, {marks['wide']}, {marks['narrow']})"
+    long = f"translate({s}, {marks['from']}, {marks['to']})"
     for a, b in compatibility_map()[2]:
-        s = f"replace({s}, '{a}', '{b}')"
-    s = f"nfc_normalize(translate({s}, {marks['from']}, {marks['to']}))"
+        long = f"replace({long}, '{a}', '{b}')"
+    s = f"nfc_normalize(CASE WHEN regexp_matches({s}, {marks['rare']}) THEN {long} ELSE {s} END)"
     return f"replace({s}, '{_KEPT_JOINER}', chr(8205))"
 
 
-def _connection(expressions: dict[str, str]):
-    """A DuckDB connection with the statement's constants, one a process."""
+def _connection():
+    """A DuckDB connection, one a process."""
     import types
 
     import duckdb
@@ -77,8 +95,6 @@ def _connection(expressions: dict[str, str]):
     if not hasattr(cache, "duck"):
         cache.duck = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
         cache.duck.execute("SET enable_progress_bar = false")
-    for name, value in expressions.items():
-        cache.duck.execute(f"SET VARIABLE {name} = $v", {"v": value})
     return cache.duck
 
 
@@ -88,9 +104,11 @@ def consistent_forms(df: DataFrame, key: str, fields: tuple[str, ...], digests:
     With digests, stored and form are md5 digests (32 hex digits), for comparisons without moving text. Text that is only
     invisible has the empty form. Rows repeated in df are repeated here; empty tables give an empty result.
     """
-    source, target, _ = compatibility_map()
-    marks = {"joined": JOINED, "invisible": INVISIBLE, "from_chars": source, "to_chars": target}
-    names = {"joined": "getvariable('joined')", "invisible": "getvariable('invisible')", "from": "getvariable('from_chars')", "to": "getvariable('to_chars')"}
+    source, target, ligatures = compatibility_map()
+    common = {c: n for c, n in zip(source, target, strict=True) if c in WIDE}
+    rare = "".join(c for c in source if c not in common) + "".join(a for a, _ in ligatures)
+    values = {"joined": JOINED, "invisible": INVISIBLE, "wide": "".join(common), "narrow": "".join(common.values()), "rare": character_class(rare), "from": source, "to": target}
+    names = {k: "'" + v.replace("'", "''") + "'" for k, v in values.items()}
     wrap = (lambda x: f"md5({x})") if digests else (lambda x: x)
     sql = " UNION ALL ".join(
         f"SELECT k, '{f}' AS field, {wrap(f'f{i}')} AS stored, {wrap(form_sql(f'f{i}', names))} AS form FROM batch WHERE f{i} IS NOT NULL AND f{i} <> ''"
@@ -98,7 +116,7 @@ def consistent_forms(df: DataFrame, key: str, fields: tuple[str, ...], digests:
     )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        duck = _connection(marks)
+        duck = _connection()
         for b in batches:
             if b.num_rows:
                 duck.register("batch", pa.Table.from_batches([b]))
@@ -121,7 +139,8 @@ def lookalike_pairs(df: DataFrame, key: str, fields: tuple[str, ...]) -> DataFra
     keys of paired spellings meet, so a form common to a third of the rows costs nothing beyond the pairs asked for.
     Null and empty fields are left out; rows repeated for a key count once.
     """
-    forms = consistent_forms(df.select(key, *fields).dropDuplicates([key]), key, fields, digests=True)
+    # the digests are read by several joins: made once, kept in the shared folder
+    forms = cut(consistent_forms(df.select(key, *fields).dropDuplicates([key]), key, fields, digests=True))
     spelt = forms.groupBy("field", "form").agg(F.min("stored").alias("lo"), F.max("stored").alias("hi"))
     several = spelt.where("lo <> hi").select("field", "form")
     kept = forms.join(several, ["field", "form"], "left_semi")
