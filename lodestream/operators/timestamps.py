@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut
+
 #: Readings of a value. A bit of the validity mask each.
 READINGS = ("year_first", "compact", "named_month", "month_day", "day_month", "epoch_s", "epoch_ms", "epoch_us", "epoch_ns")
 
@@ -140,7 +142,8 @@ def normalise_timestamps(
     gives an empty one; columns of df are kept (names beginning with two underscores are reserved).
     A wall time that occurs twice is the earlier instant, a skipped one moves forward by the gap.
     """
-    r = readings(df, value, source, zones)
+    # parsed once: the mixture weights and the posteriors read the same readings
+    r = cut(readings(df, value, source, zones))
     weights = (
         r.where(F.col("__mask") > 0)
         .groupBy(F.coalesce(F.col(source), F.lit("")).alias("__s"), F.col("__mask").alias("mask"))
