@@ -6,6 +6,11 @@ on partitioning.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,25 +37,69 @@ def bm25(
 ) -> DataFrame:
     """(query, key, score, rank): the k best documents of each query; a repeated query term counts as often as it stands.
 
-    Only occurrences of query terms leave the scan; their (document, term) counts are combined map-side. Null or empty
-    texts and queries match nothing.
+    A query set of bounded size goes to the tasks as one block of weights, and of each batch of documents only the k best
+    leave the scan. A larger one is joined: only occurrences of query terms leave the scan, their (document, term)
+    counts combined map-side. Null or empty texts and queries match nothing.
     """
     toks = docs.select(F.col(key).alias("doc"), X.tokens(F.coalesce(F.col(text), F.lit(""))).alias("t"))
     n, mean = toks.agg(F.count("*"), F.avg(F.size("t"))).first()
     wanted = queries.select(F.col(query_key).alias("query"), F.explode(X.tokens(F.col(query_text))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times"))
-    tf = (
-        toks.select("doc", F.size("t").alias("dl"), F.explode("t").alias("term"))
-        .join(wanted.select("term").distinct(), "term", "left_semi")
-        .groupBy("doc", "dl", "term")
-        .agg(F.count("*").alias("tf"))
-    )
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("times") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(float(mean or 1.0))))
-    scored = tf.join(df, "term").join(wanted, "term").groupBy("query", "doc").agg(F.round(F.sum(part), 6).alias("score"))
+    wanted = wanted.persist()
+    vocabulary = wanted.select("term").distinct()
+    asked, words = wanted.select("query").distinct().count(), vocabulary.count()
+    found = toks.select("doc", F.size("t").alias("dl"), F.explode(F.array_distinct("t") if asked * words <= MOST_CELLS else F.col("t")).alias("term")).join(vocabulary, "term", "left_semi")
+    idf = lambda df: F.log(1 + (F.lit(float(n)) - df + 0.5) / (df + 0.5))
+    if asked * words <= MOST_CELLS:
+        df = found.groupBy("term").agg(F.count("*").alias("df")).select("term", idf(F.col("df")).alias("idf"))
+        scored = _scores_by_block(toks, wanted.join(df, "term").collect(), float(mean or 1.0), k, k1, b)
+    else:
+        tf = found.groupBy("doc", "dl", "term").agg(F.count("*").alias("tf"))
+        df = tf.groupBy("term").agg(F.count("*").alias("df"))
+        part = F.col("times") * idf(F.col("df")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(float(mean or 1.0))))
+        scored = tf.join(df, "term").join(wanted, "term").groupBy("query", "doc").agg(F.round(F.sum(part), 6).alias("score"))
     return top(scored.where("score > 0"), "query", F.col("score"), "doc", k).withColumnRenamed("doc", key)
 
 
+#: Query terms by queries up to which the weights go to the tasks as one block (8 bytes a cell, 64 MB); beyond it they are joined.
+MOST_CELLS = 8_000_000
+
+
+def _scores_by_block(toks: DataFrame, weights: list, mean: float, k: int, k1: float, b: float) -> DataFrame:
+    """(query, doc, score): the k best of every Arrow batch of documents for every query, as one matrix product a batch."""
+    words = sorted({w.term for w in weights})
+    names = sorted({w.query for w in weights})
+    row, column = {w: i for i, w in enumerate(words)}, {q: i for i, q in enumerate(names)}
+    block = np.zeros((len(words), len(names)))
+    for w in weights:
+        block[row[w.term], column[w.query]] = w.times * w.idf * (k1 + 1)
+    shared = toks.sparkSession.sparkContext.broadcast((words, names, block))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, names, block = shared.value
+        lookup = pa.array(words, pa.string())
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1000):
+                part = whole.slice(lo, 1000)
+                part = part.take(pc.sort_indices(part.column(0)))  # ties go to the smaller document
+                lists = part.column(1)
+                length = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(float)
+                ids = pc.index_in(lists.flatten(), value_set=lookup).to_numpy(zero_copy_only=False)
+                doc = np.repeat(np.arange(len(lists)), length.astype(int))
+                hit = ~np.isnan(ids.astype(float))
+                tf = np.bincount(doc[hit] * len(words) + ids[hit].astype(int), minlength=len(lists) * len(words)).reshape(len(lists), -1)
+                score = np.round((tf / (tf + (k1 * (1 - b + b * length / mean))[:, None])) @ block, 6)
+                best = np.argsort(-score, axis=0, kind="stable")[:k]
+                q = np.broadcast_to(np.arange(len(names)), best.shape)
+                value = np.take_along_axis(score, best, 0)
+                ok = value > 0
+                if ok.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in q[ok]]), part.column(0).take(pa.array(best[ok])), pa.array(value[ok])], ["query", "doc", "score"])
+
+    kind = toks.schema["doc"].dataType.simpleString()
+    of = "bigint" if names and isinstance(names[0], int) else "string"
+    return toks.mapInArrow(run, f"query {of}, doc {kind}, score double")
+
+
 def hash_embedding(docs: DataFrame, key: str, text: str, dimensions: int = 64) -> DataFrame:
     """(key, pos, value): the non-zero components of the L2-normalised hash embedding of each text."""
     t = docs.select(key, F.explode(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(X.WORD), 0)).alias("tok"))
@@ -103,10 +152,16 @@ def rank_fusion(lists: list[DataFrame], key: str, k: int = 20, constant: int = 6
     return top(fused, "query", F.col("score"), key, k)
 
 
-def overlap(query_text: Column, other: Column) -> Column:
+def overlap(query_tokens: Column, other_tokens: Column) -> Column:
     """Share of the query's distinct tokens that the other text has."""
-    q, o = F.array_distinct(X.tokens(query_text)), X.tokens(F.coalesce(other, F.lit("")))
-    return F.when(F.size(q) == 0, 0.0).otherwise(F.size(F.array_intersect(q, o)) / F.size(q))
+    n = F.size(query_tokens)
+    return F.when(n == 0, 0.0).otherwise(F.size(F.array_intersect(query_tokens, other_tokens)) / n)
+
+
+def with_tokens(docs: DataFrame) -> DataFrame:
+    """docs (context, content) with context_tokens and all_tokens, worked out once a document and not once a hit."""
+    distinct = lambda c: F.array_distinct(X.tokens(F.coalesce(c, F.lit(""))))
+    return docs.withColumns({"context_tokens": distinct(F.col("context")), "all_tokens": distinct(F.concat_ws("\n", "context", "content"))})
 
 
 def structured_context(title: Column, source: Column, **metadata: Column) -> Column:
@@ -115,14 +170,13 @@ def structured_context(title: Column, source: Column, **metadata: Column) -> Col
 
 
 def boost_by_metadata(hits: DataFrame, weight: float = 0.15) -> DataFrame:
-    """hits (query_text, context, score, ...) with structured_score, and score raised by weight times it."""
-    s = overlap(F.col("query_text"), F.col("context"))
+    """hits (query_tokens, context_tokens, score, ...) with structured_score, and score raised by weight times it."""
+    s = overlap(F.col("query_tokens"), F.col("context_tokens"))
     return hits.withColumn("structured_score", F.round(s, 6)).withColumn("score", F.round(F.col("score") + weight * s, 6))
 
 
 def rerank_by_overlap(hits: DataFrame) -> DataFrame:
-    both = F.concat_ws("\n", "context", "content")
-    return hits.withColumn("rerank_score", F.round(overlap(F.col("query_text"), both), 6))
+    return hits.withColumn("rerank_score", F.round(overlap(F.col("query_tokens"), F.col("all_tokens")), 6))
 
 
 def source_status(source: Column, heading: Column, content: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..operators import accounting, chunking, evaluation, events, graph, hierarchy, memory, retrieval, routing, social, timestamps
-from ..session import cut, table
+from ..session import cut, spread, table
 from . import oracle
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,8 +59,8 @@ def p4_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", "text", "source", "title", F.concat_ws("\n", "title", "text").alias("whole"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "title"))
+    return d.withColumn("whole", F.concat_ws("\n", "title", "text"))
 
 
 def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +70,7 @@ def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _faq(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest row of each FAQ record, with its searchable context."""
     f = table(spark, sf_dir, "media_response_faq")
-    f = f.groupBy("faq_id").agg(F.max_by(F.struct("source", "title", "content"), F.struct("updated_at", F.coalesce("content", F.lit("")))).alias("m")).select("faq_id", "m.*")
+    f = spread(f).groupBy("faq_id").agg(F.max_by(F.struct("source", "title", "content"), F.struct("updated_at", F.coalesce("content", F.lit("")))).alias("m")).select("faq_id", "m.*")
     return f.withColumn("content", F.coalesce("content", F.lit(""))).withColumns({"context": retrieval.structured_context(F.col("title"), F.col("source")), "whole": F.concat_ws("\n", "title", "content")})
 
 
@@ -131,7 +131,9 @@ def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = _fused(spark, sf_dir).join(_faq(spark, sf_dir).drop("whole"), "faq_id").join(_cases(spark, sf_dir).select(F.col("id").alias("query"), F.col("query").alias("query_text")), "query")
+    faq = cut(retrieval.with_tokens(_faq(spark, sf_dir).drop("whole")))
+    asked = _cases(spark, sf_dir).select(F.col("id").alias("query"), F.array_distinct(X.tokens(F.col("query"))).alias("query_tokens"))
+    hits = _fused(spark, sf_dir).join(faq, "faq_id").join(asked, "query")
     return retrieval.boost_by_metadata(hits)
 
 
