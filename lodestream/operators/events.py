@@ -4,27 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from . import ordering
+from .ordering import laid
 
-def last_before(events: DataFrame, key: str, at: str, order: str, kind: str, of: str, before: str) -> DataFrame:
-    """(order, key, previous): for each ``of`` event the id of the key's last ``before`` event, by one running window.
 
-    One sort by (key, time) serves both sides; no range join.
-    """
-    e = events.where(F.col(kind).isin(of, before))
-    w = Window.partitionBy(key).orderBy(at, order).rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.last(F.when(F.col(kind) == before, F.col(order)), ignorenulls=True).over(w)
-    return e.withColumn("previous", seen).where(F.col(kind) == of).select(order, key, "previous")
+def last_before(events: DataFrame, key: str, at: str, order: str, kind: str, of: str, before: str) -> DataFrame:
+    """(order, key, previous): for each ``of`` event the id of the key's last ``before`` event; no range join."""
+    e = laid(events.where(F.col(kind).isin(of, before)).select(key, at, order, kind), key, at, order)
+    seen = ordering.last_before(e, key, (at, order), F.when(F.col(kind) == before, F.col(order)), "previous")
+    return seen.where(F.col(kind) == of).select(order, key, "previous")
 
 
 def sessions(events: DataFrame, key: str, at: str, order: str, gap_seconds: int) -> DataFrame:
     """(key, session, events, first, last): runs of events no more than the gap apart."""
-    w = Window.partitionBy(key).orderBy(at, order)
-    gap = F.timestamp_diff("SECOND", F.lag(at).over(w), F.col(at))
-    d = events.withColumn("__new", F.when(gap > gap_seconds, 1).otherwise(0))
-    d = d.withColumn("session", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint"))
-    return d.groupBy(key, "session").agg(F.count("*").alias("events"), F.min(at).alias("first"), F.max(at).alias("last"))
+    e = laid(events.select(key, at, order), key, at, order)
+    e = ordering.last_before(e, key, (at, order), F.col(at), "__previous")
+    gap = F.timestamp_diff("SECOND", F.col("__previous"), F.col(at))
+    e = ordering.running_sum(e, key, (at, order), F.when(gap > gap_seconds, 1).otherwise(0), "session")
+    return e.groupBy(key, F.col("session").cast("bigint").alias("session")).agg(F.count("*").alias("events"), F.min(at).alias("first"), F.max(at).alias("last"))
 
 
 def daily(events: DataFrame) -> DataFrame:

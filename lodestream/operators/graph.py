@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from ..session import cut
+from .ordering import numbered
 
 
 def mentions(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -51,11 +53,11 @@ def same_source_edges(docs: DataFrame, key: str, source: str, reach: int = 5) ->
 
     Beyond that the weight is the floor for every pair, which membership of the source already says.
     """
-    w = Window.partitionBy(source).orderBy(key)
-    ahead = F.array(*(F.struct(F.lead(key, d).over(w).alias("to"), F.lit(max(0.2, 1 - 0.15 * (d - 1))).alias("weight")) for d in range(1, reach + 1)))
-    d = docs.where(F.col(source).isNotNull()).select(key, source).withColumn("ahead", ahead)
-    e = d.select(F.col(key).alias("from"), F.explode("ahead").alias("e"))
-    return e.select("from", "e.to", F.round("e.weight", 4).alias("weight")).where("to IS NOT NULL")
+    d = cut(numbered(docs.where(F.col(source).isNotNull()).select(key, source), source, key))
+    steps = F.explode(F.array(*(F.lit(i) for i in range(1, reach + 1)))).alias("d")
+    a = d.select(F.col(key).alias("from"), source, "n", steps).withColumn("n", F.col("n") + F.col("d"))
+    weight = F.round(F.greatest(F.lit(0.2), 1 - 0.15 * (F.col("d") - 1)), 4)
+    return a.join(d.withColumnRenamed(key, "to"), [source, "n"]).select("from", "to", weight.alias("weight"))
 
 
 def shared_value_edges(docs: DataFrame, key: str, value: str, weight: float) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 # Words that make a text negative, positive, or a complaint.
 NEGATIVE = (
@@ -22,11 +21,6 @@ def any_of(text: Column, words: tuple[str, ...]) -> Column:
     return text.rlike("|".join(w.replace("-", r"\-") for w in words))
 
 
-def keep_first(df: DataFrame, key: Column, order: list[Column]) -> DataFrame:
-    """The first row of each key in a stated order. Keys of which a few rows repeat are combined before the window by rank limit."""
-    return df.withColumn("__k", key).withColumn("__n", F.row_number().over(Window.partitionBy("__k").orderBy(*order))).where("__n = 1").drop("__k", "__n")
-
-
 def latest_posts(posts: DataFrame) -> DataFrame:
     """One row a post: the latest ingested one."""
     rest = [c for c in posts.columns if c not in ("id", "ingested_at")]

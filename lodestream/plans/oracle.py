@@ -176,6 +176,10 @@ SQL: dict[str, str] = {
     "domain_routing": " UNION ".join(["SELECT id, 'core' AS domain FROM rag_eval_cases", "SELECT id, 'web_search' FROM rag_eval_cases", *(f"SELECT id, '{d}' FROM rag_eval_cases WHERE {words('lower(query)', ks)}" for d, ks in DOMAINS.items())]),
     "section_assembly": "WITH d AS (SELECT * FROM documents WHERE source IS NOT NULL AND doc_type IS NOT NULL), l AS (SELECT source, doc_type, arg_max(title, doc_id) AS content FROM d WHERE title IS NOT NULL GROUP BY ALL) SELECT source, string_agg('## ' || doc_type || chr(10) || coalesce(content, ''), chr(10) || chr(10) ORDER BY doc_type) AS report FROM (SELECT DISTINCT source, doc_type FROM d) LEFT JOIN l USING (source, doc_type) GROUP BY source",
     "state_reduction": "WITH l AS (SELECT *, max(CASE WHEN event_type = 'signup' THEN event_id END) OVER (PARTITION BY user_id) AS f FROM events) SELECT user_id::VARCHAR AS thread, string_agg(event_type, '|' ORDER BY event_id) AS value FROM l WHERE f IS NULL OR event_id >= f GROUP BY ALL",
+    "private_memories": f"WITH {UPSERTED.replace('any_value(record_type)', 'any_value(user_id) AS user_id, any_value(record_type)')} SELECT user_id, memory_id, row_number() OVER (PARTITION BY user_id ORDER BY updated_at DESC, memory_id) AS rank FROM up WHERE user_id IS NOT NULL QUALIFY rank <= 5",
+    "unique_names": "WITH t AS (SELECT DISTINCT platform, unnest(tags) AS tag FROM bulk_mock_posts WHERE platform IS NOT NULL) SELECT platform, tag, CASE WHEN platform = min(platform) OVER (PARTITION BY tag) THEN tag ELSE platform || '__' || tag END AS called FROM t",
+    "admitted_units": f"WITH {POSTS}, r AS (SELECT row_number() OVER (PARTITION BY thread_id ORDER BY id) AS n FROM posts WHERE thread_id IS NOT NULL) SELECT CASE WHEN n <= 2 THEN 'run' ELSE 'overflow' END AS state, count(*) AS units FROM r WHERE n <= 5 GROUP BY ALL",
+    "run_preference": f"WITH {RUN}, b AS (WITH {RUN.replace(vectors('cosine').format(k=10), vectors('l2').format(k=10))} SELECT query, recall AS other FROM cm) SELECT query, (recall > other)::BIGINT AS first, (recall < other)::BIGINT AS second FROM cm JOIN b USING (query)",
     "events_asof": "SELECT a.event_id, a.user_id, (SELECT arg_max(b.event_id, (b.ts, b.event_id)) FROM events b WHERE b.user_id = a.user_id AND b.event_type = 'click' AND (b.ts, b.event_id) < (a.ts, a.event_id)) AS previous FROM events a WHERE event_type = 'purchase'",
     "event_sessions": "WITH g AS (SELECT *, CASE WHEN date_diff('second', lag(ts) OVER w, ts) > 43200 THEN 1 ELSE 0 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS session FROM g) SELECT user_id, session, count(*) AS events, min(ts) AS first, max(ts) AS last FROM s GROUP BY ALL",
     "event_days": "SELECT ts::DATE::VARCHAR AS day, event_type, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY ALL",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
-from ..operators import accounting, chunking, evaluation, events, graph, hierarchy, memory, retrieval, routing, social, timestamps
+from ..operators import accounting, chunking, control, evaluation, events, graph, hierarchy, memory, retrieval, routing, social, timestamps
 from ..session import cut, spread, table
 from . import oracle
 
@@ -547,6 +547,34 @@ def state_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.reduce_state(u, "thread", "event_id")
 
 
+@query
+def private_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five memories each user wrote last."""
+    m = memory.upsert(table(spark, sf_dir, "memories"), table(spark, sf_dir, "memories").limit(0))
+    r = control.last_of_each(control.owned(m.withColumn("known", F.when(F.col("user_id").isNotNull(), "yes")), "known", "yes"), "user_id", [F.desc("updated_at"), F.col("memory_id")], 5)
+    return r.select("user_id", "memory_id", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query
+def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "bulk_mock_posts").where("platform IS NOT NULL")
+    return control.unique_names(p.select("platform", F.explode("tags").alias("tag")), "platform", "tag")
+
+
+@query
+def admitted_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = control.admitted_units(_posts(spark, sf_dir).where("thread_id IS NOT NULL"), "thread_id", "id", 5, 2)
+    return u.groupBy("state").agg(F.count("*").alias("units"))
+
+
+@query
+def run_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of two runs each query prefers, by reciprocal rank: cosine or L2."""
+    a, b = (evaluation.case_metrics(*_judged(spark, sf_dir, m), 5).select("query", F.col("recall").alias(m)) for m in ("cosine", "l2"))
+    p = control.preference(F.col("cosine"), F.col("l2"))
+    return a.join(b, "query").select("query", p[0].cast("bigint").alias("first"), p[1].cast("bigint").alias("second"))
+
+
 # Chunks
 
 

@@ -252,3 +252,24 @@ def test_streams(spark, tmp_path):
     q = streams.index_pending(st, lambda d: None, lambda d: done.extend(r.memory_id for r in d.collect()), str(tmp_path / "cp"))
     q.awaitTermination(120)
     assert done == ["a"]
+
+
+def test_positions_span_partitions(spark):
+    from lodestream.operators import ordering
+
+    rows = [("hot", i, i % 3 == 0) for i in range(500)] + [("b", 1, True), (None, 5, True), (None, 4, True)]
+    d = spark.createDataFrame(rows, "k string, o int, flag boolean")
+    n = {(r.k, r.o): r.n for r in ordering.numbered(d, "k", "o").collect()}
+    assert all(n["hot", i] == i + 1 for i in range(500)) and n["b", 1] == 1 and n[None, 4] == 1 and n[None, 5] == 2
+    laid = ordering.laid(d, "k", "o")
+    last = {(r.k, r.o): r.last for r in ordering.last_before(laid, "k", ("o",), F.when(F.col("flag"), F.col("o")), "last").collect()}
+    assert last["hot", 0] is None and all(last["hot", i] == (i - 1) // 3 * 3 for i in range(1, 500))
+    assert ordering.numbered(d.limit(0), "k", "o").count() == 0
+
+
+def test_bm25_block_and_join_agree(spark, monkeypatch):
+    docs, cases = table(spark, DATA, "documents"), table(spark, DATA, "rag_eval_cases")
+    run = lambda: {(r.query, r.doc_id, r.score) for r in retrieval.bm25(docs, "doc_id", "text", cases, "id", "query").collect()}
+    block = run()
+    monkeypatch.setattr(retrieval, "MOST_CELLS", 0)
+    assert block == run() and block
