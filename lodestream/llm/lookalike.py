@@ -140,7 +140,7 @@ def lookalike_pairs(df: DataFrame, key: str, fields: tuple[str, ...]) -> DataFra
     Null and empty fields are left out; rows repeated for a key count once.
     """
     # the digests are read by several joins: made once, kept in the shared folder
-    forms = cut(consistent_forms(df.select(key, *fields).dropDuplicates([key]), key, fields, digests=True))
+    forms = cut(consistent_forms(df, key, fields, digests=True).dropDuplicates([key, "field"]))
     spelt = forms.groupBy("field", "form").agg(F.min("stored").alias("lo"), F.max("stored").alias("hi"))
     several = spelt.where("lo <> hi").select("field", "form")
     kept = forms.join(several, ["field", "form"], "left_semi")
