@@ -36,6 +36,9 @@ My name is {P}, please call {T}.
 Please call {T} and ask for {P}.
 I am {P} and I live at {A}.
 Contact: {P}, {A}, {T}
+Contact: {P}, {A}, {T} {n}
+{P}, {A}, {T}
+{P} filed the claim under ID {I}. Thanks.
 Contact {P} at {E} or {T}.
 You can reach me at {E} or {T}.
 Reach me on {T}, thanks.
@@ -86,6 +89,7 @@ Please do not guess the cause while the Press Office is still checking.
 See https://t.example.com/{n} for more.
 Ich heiße {P} und wohne in der Nähe, {A}.
 Ich bin {P}, erreichbar unter {T}.
+Ich heiße {P} und komme aus {L}.
 Bitte melden unter {T}.
 Rufen Sie {T} an, Frau {P} hilft.
 Herr {P} hat den Auftrag angenommen, Telefon {T}.
@@ -348,7 +352,7 @@ class Filler:
         if kind == "Tj":
             return d(r.choice(("090-0000-9999", "(090)0000-9999", "09000009999", "03-0000-9999", "+81 90 0000 9999", "090 0000 9999", "+81-90-0000-9999")))
         if kind == "I":
-            return d(r.choice(("999-99-9999", "999 99 9999", "999999999", "999-99-9999", "L99999 999 999", "L99999999", "99 999999999", "99 999 999 999", "99999999999", "9 99 99 99 999 999", "9999999999999", "9 99 99 99 999 999 99", "000.999.999-99", "00099999999", "999.999.999-99", "99999999Z", "99999999-H", "X9999999L", "99.999.999-K")))
+            return d(r.choice(("999-99-9999", "999 99 9999", "999999999", "999999999", "999999999", "999-99-9999", "L99999 999 999", "L99999999", "99 999999999", "99 999 999 999", "99999999999", "9 99 99 99 999 999", "9999999999999", "9 99 99 99 999 999 99", "000.999.999-99", "00099999999", "999.999.999-99", "99999999Z", "99999999-H", "X9999999L", "99.999.999-K")))
         if kind == "Iz":
             return d(r.choice(("999999199909099999", "99999919990909999X", "999999 19990909 9999", "999999 19990909 999X", "999999-19990909-9999", "999999200009099999")))
         if kind == "Ij":

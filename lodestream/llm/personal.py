@@ -41,6 +41,9 @@ _WORDS = {
     "other": "order tracking part batch build version software firmware case ticket invoice vin serial vorgang teilenummer bestellung sendung pièce commande colis pieza pedido envío peça encomenda protocolo caso dossier meter",
     "title": "mr mrs ms dr herr frau madame monsieur señor señora senhor senhora sr sra contact attention regards name llamo appelle heiße nome soy sou bin",
 }
+# Words that open or close the names of places.
+_PLACE_FIRST = set("port puerto porto villa vila santa san sankt saint são sao nava lagoa les bad lake mount monte fort new old north south east west".split())
+_PLACE_LAST = set("bay point baja alta city town park beach island harbour hills valley springs county".split())
 _WORD_KIND = {w: k for k, ws in _WORDS.items() for w in ws.split()}
 _GIVEN = {g.lower() for g in labelled.GIVEN}
 _ROAD_ZH, _HOUSE_ZH = set("路街巷道弄村里胡同"), set("号栋室单元座层幢院丁目番地楼")
@@ -359,6 +362,9 @@ def _plausible(span: str, kind: str) -> bool:
     dense = re.findall(rf"[{_DENSE}]", s)
     if digits or not dense:
         opening = re.match(r"(?i)(?:in|en|em|im|am|aus|bei|from|at|to|à)\s", s)
+        words = s.lower().replace(",", " ").split()
+        if not words or words[0] in _PLACE_FIRST or words[-1] in _PLACE_LAST:
+            return False
         return not digits and not opening and len(re.findall(r"[^\W\d_]{2,}", s)) >= 2
     chinese = 2 <= len(dense) <= 4 and (dense[0] in _SURNAME or "".join(dense[:2]) in labelled.COMPOUND_SURNAMES)
     return len(dense) + s.count(" ") == len(s) and (chinese or 3 + (" " not in s) <= len(dense) <= 8)
