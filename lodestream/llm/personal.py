@@ -130,10 +130,10 @@ class Model:
         self.window, self.shapes, self.change, self.first = window, shapes, change, first
 
 
-def _hashed(shape_ids: np.ndarray) -> np.ndarray:
-    """Buckets [.., 5] of the shapes (-1, 0), (0, 1), (-1, 0, 1), (-2, -1, 0), (0, 1, 2) along the last axis; 0 pads."""
-    p = np.pad(shape_ids, [(0, 0)] * (shape_ids.ndim - 1) + [(2, 2)]).astype(np.int64)
-    n = shape_ids.shape[-1]
+def _hashed(ids: np.ndarray, shape_of: np.ndarray) -> np.ndarray:
+    """Buckets [.., 5] of the shapes (-1, 0), (0, 1), (-1, 0, 1), (-2, -1, 0), (0, 1, 2) of tokens [B, T]; edges pad."""
+    p = shape_of[np.pad(ids, ((0, 0), (2, 2)))].astype(np.int64)
+    n = ids.shape[-1]
     a, b, c, d, e = (p[..., i : i + n] for i in range(5))
     mix = lambda k, *xs: sum(x * m for x, m in zip(xs, (1, 211, 44521), strict=False)) * 5 + k
     return np.stack([mix(0, b, c), mix(1, c, d), mix(2, b, c, d), mix(3, a, b, c), mix(4, c, d, e)], -1) * 2654435761 % 2**32 % _BUCKETS
@@ -146,7 +146,7 @@ def _emission(ids: np.ndarray, by_token: np.ndarray, shape_of: np.ndarray, shape
     out = np.zeros((*ids.shape, _L), np.float32)
     for o in range(2 * WINDOW + 1):
         out += by_token[o][wide[:, o : o + n]]
-    buckets = _hashed(shape_of[ids])
+    buckets = _hashed(ids, shape_of)
     for k in range(buckets.shape[-1]):
         out += shape_weights[buckets[..., k]]
     return out
@@ -235,7 +235,7 @@ def train(rows: list[tuple[str, list[tuple[int, int, str]]]], epochs: int = 8, r
                 np.add.at(grad_window[o], table[seen].reshape(-1), np.repeat(per_token[o, seen], width, 0))
             grad_window[:, 0] = 0
             grad_shapes = np.zeros_like(shapes)
-            buckets = _hashed(shape_of[ids])[live]
+            buckets = _hashed(ids, shape_of)[live]
             for k2 in range(buckets.shape[-1]):
                 np.add.at(grad_shapes, buckets[:, k2], g)
             for w, gr, sq in zip((window, shapes, change, first), (grad_window, grad_shapes, grad_change, grad_first), squares, strict=True):
