@@ -15,7 +15,7 @@ def _post_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language segments of every post, keyed by (id, label); no text is shuffled."""
     posts = table(spark, sf_dir, "bulk_mock_posts").select("id", F.col("metadata.language").alias("label"), "content")
     sample = language.labelled_sample(table(spark, sf_dir, "documents"), "lang", "text", "doc_id", 300)
-    sample += language.labelled_sample(posts.dropDuplicates(["id"]), "label", "content", "id", 1000)
+    sample += language.labelled_sample(posts, "label", "content", "id", 1000)
     keyed = posts.select(F.struct("id", "label").alias("key"), "content")
     return language.language_segments(keyed, "key", "content", language.build_dictionaries(sample))
 
