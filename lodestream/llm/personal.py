@@ -125,10 +125,14 @@ class Vocabulary:
 class Model:
     """Weights: window[offset, feature, label], pair and triple[bucket, label], change[label, label], first, last[label]."""
 
-    def __init__(self, vocabulary: Vocabulary, window: np.ndarray, shapes: np.ndarray, change: np.ndarray, first: np.ndarray) -> None:
-        self.known, self.shape_numbers = vocabulary.known, vocabulary.shapes
+    def __init__(self, known: dict[str, int], shape_numbers: dict[str, int], window: np.ndarray, shapes: np.ndarray, change: np.ndarray, first: np.ndarray) -> None:
+        self.known, self.shape_numbers = known, shape_numbers
         self.window, self.shapes, self.change, self.first = window, shapes, change, first
 
+    def parts(self) -> tuple:
+        """What the model is made of, in types that any worker can read."""
+        return self.known, self.shape_numbers, self.window, self.shapes, self.change, self.first
+
 
 def _hashed(ids: np.ndarray, shape_of: np.ndarray) -> np.ndarray:
     """Buckets [.., 5] of the shapes (-1, 0), (0, 1), (-1, 0, 1), (-2, -1, 0), (0, 1, 2) of tokens [B, T]; edges pad."""
@@ -242,7 +246,7 @@ def train(rows: list[tuple[str, list[tuple[int, int, str]]]], epochs: int = 8, r
                 gr = gr / b + 2e-5 * w
                 sq += gr * gr
                 w -= rate * gr / np.sqrt(sq)
-    return Model(v, window, shapes, change + bad, first + first_bad)
+    return Model(v.known, v.shapes, window, shapes, change + bad, first + first_bad)
 
 
 class Recogniser:
@@ -385,13 +389,13 @@ def personal_information(df: DataFrame, key: str, fields: tuple[str, ...], model
     otherwise unchanged; found holds the spans as (start, end, type) in code points of the field as stored. Repeated
     rows repeat; an empty table gives an empty result; other columns are ignored.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model or recogniser_model())  # of bounded size: the table is fixed
+    shared = df.sparkSession.sparkContext.broadcast((model or recogniser_model()).parts())  # of bounded size: the table is fixed
     kind = df.schema[key].dataType
     arrow = to_arrow_type(kind)
     found_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("type", pa.string())]))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        recognise = Recogniser(shared.value)
+        recognise = Recogniser(Model(*shared.value))
         for b in batches:
             ids = b.column(0)
             for n, field in enumerate(fields, 1):
