@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import language, leakage, lookalike, packing, personal, splitting, truncation
+from . import language, leakage, lookalike, oracle, packing, personal, splitting, truncation
 
 
 def _post_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,4 +122,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracle.SQL)
