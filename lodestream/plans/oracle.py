@@ -106,6 +106,12 @@ RUN = f"""r AS ({vectors("cosine").format(k=10)}),
       round(coalesce(count(*) FILTER (ok)::DOUBLE / nullif(count(item), 0), 0), 6) AS precision, round(coalesce(1.0::DOUBLE / min(rank) FILTER (ok), 0), 6) AS mrr FROM n LEFT JOIN g USING (query) GROUP BY n.query, wanted)"""
 
 SQL: dict[str, str] = {
+    "p4_found": """WITH RECURSIVE links AS (SELECT DISTINCT id, CASE WHEN trim(parent_id) <> '' THEN parent_id END AS parent FROM bulk_mock_posts),
+      up AS (SELECT a.id, b.id AS parent FROM links a JOIN (SELECT DISTINCT id FROM bulk_mock_posts) b ON b.id = a.parent),
+      most AS (SELECT count(*) AS deep FROM links),
+      walk AS (SELECT id, id AS at, 0 AS depth FROM links WHERE parent IS NOT NULL UNION ALL SELECT w.id, up.parent, depth + 1 FROM walk w JOIN up ON up.id = w.at, most WHERE depth < 2 * deep),
+      far AS (SELECT id, max(depth) AS depth FROM walk GROUP BY id)
+      SELECT f.id, CASE WHEN f.depth > deep THEN (SELECT min(w.at) FROM walk w WHERE w.id = f.id AND w.depth >= deep) ELSE (SELECT w.at FROM walk w WHERE w.id = f.id AND w.depth = f.depth) END AS root_id, CASE WHEN f.depth > deep THEN -1 ELSE f.depth END::BIGINT AS depth FROM far f, most""",
     "bm25_topk": "WITH" + bm25("SELECT doc_id, concat_ws(chr(10), title, text) AS body FROM documents", "doc_id", 5) + " SELECT query, doc_id, score, rank FROM ranked",
     "bm25_content_only": "WITH" + bm25("SELECT doc_key, max(content) AS body FROM rag_document GROUP BY doc_key", "doc_key", 5) + " SELECT query, doc_key, score, rank FROM ranked",
     "term_statistics": f"WITH t AS (SELECT doc_id, {tok("coalesce(text, '')")} AS t FROM documents) SELECT term, df, round(ln(1 + ((SELECT count(*) FROM documents)::DOUBLE - df + 0.5) / (df + 0.5)), 6) AS idf FROM (SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(t) AS term FROM t) GROUP BY ALL)",
