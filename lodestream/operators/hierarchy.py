@@ -192,7 +192,24 @@ def paths(tree: DataFrame, key: str = "id") -> DataFrame:
     return swept.mapInPandas(sweep, T.StructType([T.StructField(key, kind), T.StructField("path", T.ArrayType(kind))]))
 
 
-def descendants(tree: DataFrame, wanted: DataFrame, key: str = "id") -> DataFrame:
-    """(ancestor, key): every node below each wanted key (a column named like key), by interval containment."""
-    a = tree.join(wanted.select(key).distinct(), key).select(F.col(key).alias("ancestor"), "root", F.col("entry").alias("e"), F.col("exit").alias("x"))
-    return a.join(tree, "root").where("entry > e AND exit < x").select("ancestor", key)
+def descendants(tree: DataFrame, wanted: DataFrame | None = None, key: str = "id") -> DataFrame:
+    """(ancestor, key): every node below each node, or below each wanted key (a column named like key).
+
+    The pairs are those of paths(), so a node meets its own ancestors only, never the rest of its tree. Where links lead
+    into a loop, they are followed once around: every other member of the loop is an ancestor too, no node its own.
+    """
+
+    def pairs(d: DataFrame) -> DataFrame:
+        return paths(d, key).select(F.explode(F.slice("path", F.lit(1), F.size("path") - 1)).alias("ancestor"), key)
+
+    tree = cut(tree)
+    looped = tree.where("depth = -1")
+    out = pairs(tree.where("depth >= 0"))
+    if looped.limit(1).count():
+        # the opened tree has only part of the pairs with members of its loop
+        members = tree.where("in_loop").select(F.col(key).alias("ancestor"), "root")
+        around = members.join(looped.select(key, "root"), "root").where(F.col("ancestor") != F.col(key)).select("ancestor", key)
+        out = out.unionByName(around.unionByName(pairs(looped)).distinct())
+    if wanted is None:
+        return out
+    return out.join(wanted.select(F.col(key).alias("ancestor")).distinct(), "ancestor", "left_semi")

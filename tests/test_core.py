@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestream.operators import accounting, chunking, evaluation, graph, hierarchy, memory, retrieval, routing, social, timestamps
+from lodestream.plans import registry
 from lodestream.session import table
 from lodestream.sources import files, records, sinks
 from lodestream.streaming import events as streams
@@ -103,6 +104,28 @@ def test_hierarchy_against_walk(spark):
     assert below == {f"chain{i}" for i in range(61, 70)}
 
 
+def below(parents):
+    """All (ancestor, node) by walking up from every node, once around where there is a loop."""
+    out = set()
+    for x in parents:
+        at, seen = parents[x], {x}
+        while at in parents and at not in seen:
+            seen.add(at)
+            out.add((at, x))
+            at = parents[at]
+    return out
+
+
+def test_descendants_of_every_post(spark):
+    parents = {r.id: r.parent_id for r in table(spark, DATA, "bulk_mock_posts").select("id", "parent_id").collect()}
+    got = [tuple(r) for r in registry.queries()["p4_descendants"](spark, DATA).select("ancestor", "id").collect()]
+    assert len(got) == len(set(got)) and set(got) == below(parents)
+    parents = {"b": "c", "a": "b", "c": "a", "d": "b", "e": "d", "s": "s", "t": "s", "r": None, "u": "r", "v": "u"}
+    d = spark.createDataFrame(list(parents.items()), "id string, parent_id string")
+    got = [tuple(r) for r in hierarchy.descendants(hierarchy.hierarchy(d)).collect()]
+    assert len(got) == len(set(got)) and set(got) == below(parents)
+
+
 def test_hierarchy_edges(spark):
     empty = spark.createDataFrame([], "id string, parent_id string")
     assert hierarchy.hierarchy(empty).count() == 0
