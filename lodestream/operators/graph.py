@@ -48,16 +48,26 @@ def term_neighbours(docs: DataFrame, key: str, text: str, seeds: DataFrame, perc
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 
 
-def same_source_edges(docs: DataFrame, key: str, source: str, reach: int = 5) -> DataFrame:
-    """(from, to, weight) between documents of one source up to ``reach`` places apart, weight max(.2, 1 - .15 (d - 1)).
+def same_source_edges(docs: DataFrame, key: str, source: str, reach: int | None = None, block: int = 1_000) -> DataFrame:
+    """(from, to, weight) between all documents of one source, d places apart, weight max(.2, 1 - .15 (d - 1)).
 
-    Beyond that the weight is the floor for every pair, which membership of the source already says.
+    With ``reach``, only those up to so many places apart. All pairs of a source grow as its square; they are made from
+    pairs of blocks of ``block`` documents, so that no task has more than block^2 of them for a key.
     """
     d = cut(numbered(docs.where(F.col(source).isNotNull()).select(key, source), source, key))
-    steps = F.explode(F.array(*(F.lit(i) for i in range(1, reach + 1)))).alias("d")
-    a = d.select(F.col(key).alias("from"), source, "n", steps).withColumn("n", F.col("n") + F.col("d"))
+    if reach is not None:
+        steps = F.explode(F.array(*(F.lit(i) for i in range(1, reach + 1)))).alias("d")
+        a = d.select(F.col(key).alias("from"), source, "n", steps).withColumn("n", F.col("n") + F.col("d"))
+        pairs = a.join(d.withColumnRenamed(key, "to"), [source, "n"])
+    else:
+        at = F.floor((F.col("n") - 1) / block)
+        last = d.groupBy(source).agg(F.max(at).alias("last"))
+        d = d.withColumn("at", at).join(last, source)
+        a = d.select(F.col(key).alias("from"), source, F.col("n").alias("n1"), F.col("at").alias("i"), F.explode(F.sequence("at", "last")).alias("j"))
+        b = d.select(F.col(key).alias("to"), source, F.col("n").alias("n2"), F.explode(F.sequence(F.lit(0).cast("bigint"), "at")).alias("i"), F.col("at").alias("j"))
+        pairs = a.join(b, [source, "i", "j"]).where("n1 < n2").withColumn("d", F.col("n2") - F.col("n1"))
     weight = F.round(F.greatest(F.lit(0.2), 1 - 0.15 * (F.col("d") - 1)), 4)
-    return a.join(d.withColumnRenamed(key, "to"), [source, "n"]).select("from", "to", weight.alias("weight"))
+    return pairs.select("from", "to", weight.alias("weight"))
 
 
 def shared_value_edges(docs: DataFrame, key: str, value: str, weight: float) -> DataFrame:

@@ -206,6 +206,18 @@ def test_graph_edges(spark):
     assert [(x["from"], x["to"]) for x in graph.shared_value_edges(d, "id", "title", 0.8).collect()] == [(1, 2)]
 
 
+def test_same_source_edges_of_all_pairs(spark):
+    d = spark.createDataFrame([(i, "s" if i % 3 else "o") for i in range(40)] + [(99, None)], "id int, source string")
+    want = {}
+    for members in ([i for i in range(40) if i % 3], [i for i in range(40) if not i % 3]):
+        want |= {(x, y): round(max(0.2, 1 - 0.15 * (k - 1)), 4) for n, x in enumerate(members) for k, y in enumerate(members[n + 1 :], 1)}
+    for block in (7, 1_000):
+        got = graph.same_source_edges(d, "id", "source", block=block).collect()
+        assert len(got) == len(want) and {(r["from"], r["to"]): r.weight for r in got} == want
+    sources = [r.n for r in table(spark, DATA, "documents").where("source IS NOT NULL").groupBy("source").agg(F.count("*").alias("n")).collect()]
+    assert registry.queries()["same_source_edges"](spark, DATA).count() == sum(n * (n - 1) // 2 for n in sources)
+
+
 def test_social(spark):
     p = social.latest_posts(table(spark, DATA, "bulk_mock_posts"))
     assert p.count() == table(spark, DATA, "bulk_mock_posts").select("id").distinct().count()
