@@ -89,6 +89,21 @@ def seed_concentration(hits: DataFrame, source: str, seeds: int = 4) -> DataFram
     return s.groupBy("query").agg((F.max("n") / F.sum("n")).alias("concentration"))
 
 
+def seed_informativeness(hits: DataFrame, docs: DataFrame, key: str, text: str, seeds: int = 3) -> DataFrame:
+    """(query, informativeness): the mean normalised idf of the distinct graph terms of a query's first seeds, 0 without terms.
+
+    idf = ln(1 + (n - df + .5) / (df + .5)) over ln(n + 1), where n is the largest df of any term.
+    """
+    m = cut(mentions(docs, key, text))
+    first = hits.where(F.col("rank") <= seeds).select("query", key)
+    df = m.groupBy("term").agg(F.count("*").alias("df"))
+    n = df.agg(F.max("df").cast("double").alias("n"))
+    asked = first.join(m, key).select("query", "term").distinct()
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) / F.log(F.col("n") + 1)
+    each = asked.join(df, "term").crossJoin(F.broadcast(n)).groupBy("query").agg(F.avg(idf).alias("informativeness"))  # one row
+    return first.select("query").distinct().join(each, "query", "left").select("query", F.coalesce("informativeness", F.lit(0.0)).alias("informativeness"))
+
+
 def expansion_gate(signals: DataFrame) -> DataFrame:
     """Adds favourable, should_expand and confidence to (specificity, concentration, informativeness) signals."""
     n = (F.col("specificity") >= 0.3).cast("int") + (F.col("concentration") >= 0.5).cast("int") + (F.col("informativeness") >= 0.3).cast("int")

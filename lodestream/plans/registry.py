@@ -205,10 +205,11 @@ def shared_title_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def adaptive_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
-    hits = bm25_topk(spark, sf_dir).join(docs.select("doc_id", "source"), "doc_id")
+    hits = cut(bm25_topk(spark, sf_dir).join(docs.select("doc_id", "source"), "doc_id"))
     seeds = graph.seed_concentration(hits, "source")
+    told = graph.seed_informativeness(hits, docs, "doc_id", "whole")
     cases = _cases(spark, sf_dir).select(F.col("id").alias("query"), graph.query_specificity(F.col("query")).alias("specificity"))
-    s = cases.join(seeds, "query").withColumn("informativeness", F.lit(1.0))
+    s = cases.join(seeds, "query").join(told, "query")
     g = graph.expansion_gate(s)
     return g.select("query", F.round("specificity", 4).alias("specificity"), F.round("concentration", 4).alias("concentration"), F.col("favourable").cast("bigint").alias("favourable"), "should_expand", F.round("confidence", 4).alias("confidence"))
 

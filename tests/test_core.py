@@ -1,11 +1,15 @@
 """Goldens, brute-force comparisons and edge cases of the core operators."""
 
+import collections
 import datetime as dt
+import math
+import re
 import zoneinfo
 
 import pytest
 from pyspark.sql import functions as F
 
+from lodestream.functions import text as X
 from lodestream.operators import accounting, chunking, evaluation, graph, hierarchy, memory, retrieval, routing, social, timestamps
 from lodestream.plans import registry
 from lodestream.session import table
@@ -218,6 +222,35 @@ def test_same_source_edges_of_all_pairs(spark):
     assert registry.queries()["same_source_edges"](spark, DATA).count() == sum(n * (n - 1) // 2 for n in sources)
 
 
+def test_gate_takes_the_terms_of_the_seeds(spark):
+    docs = spark.createDataFrame([(i, "common words here" if i else "common rare", "s") for i in range(30)] + [(90, "12 34", "s")], "id int, text string, source string")
+    hits = spark.createDataFrame([("low", 1, 1), ("low", 2, 2), ("low", 3, 3), ("low", 0, 4), ("high", 0, 1), ("none", 90, 1)], "query string, id int, rank int")
+    got = {r.query: r.informativeness for r in graph.seed_informativeness(hits, docs, "id", "text").collect()}
+
+    def idf(df):
+        return math.log(1 + (30 - df + 0.5) / (df + 0.5)) / math.log(31)
+
+    assert got["low"] == pytest.approx((idf(30) + 2 * idf(29)) / 3) and got["high"] == pytest.approx((idf(30) + idf(1)) / 2) and got["none"] == 0
+    signals = spark.createDataFrame([(q, 1.0, 0.25, v) for q, v in got.items()], "query string, specificity double, concentration double, informativeness double")
+    gate = {r.query: (r.favourable, r.should_expand, r.confidence) for r in graph.expansion_gate(signals).collect()}
+    assert gate == {"low": (1, False, 0.3), "high": (2, True, 1.0), "none": (1, False, 0.3)}
+
+
+def test_adaptive_gate_of_every_case(spark):
+    docs = {r.doc_id: f"{r.title or ''}\n{r.text or ''}" for r in table(spark, DATA, "documents").collect()}
+    terms = {k: {w for w in (x.lower().strip("_-") for x in re.findall(X.GRAPH_TERM, v)) if len(w) >= 2} - set(X.STOPWORDS) for k, v in docs.items()}
+    df = collections.Counter(t for v in terms.values() for t in v)
+    n = max(df.values())
+    seeds = collections.defaultdict(set)
+    for r in registry.queries()["bm25_topk"](spark, DATA).where("rank <= 3").collect():
+        seeds[r.query] |= terms[r.doc_id]
+    want = {q: sum(math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) / math.log(n + 1) for t in v) / len(v) for q, v in seeds.items()}
+    got = {r.query: r for r in registry.queries()["adaptive_gate"](spark, DATA).collect()}
+    assert set(got) == set(want)
+    for q, v in want.items():
+        assert got[q].favourable == (got[q].specificity >= 0.3) + (got[q].concentration >= 0.5) + (v >= 0.3)
+
+
 def test_social(spark):
     p = social.latest_posts(table(spark, DATA, "bulk_mock_posts"))
     assert p.count() == table(spark, DATA, "bulk_mock_posts").select("id").distinct().count()
