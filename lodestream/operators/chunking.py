@@ -128,7 +128,7 @@ def json_chunks(text: str, size: int, overlap: int) -> list[tuple[str, str]] | N
     """(json path, content) of grouped leaves, or None where the text is not JSON.
 
     Short leaves of a group share chunks as ``label: text`` lines; a long one is split, each piece led by its group's short
-    ones.
+    ones. Where these take more than half the size, they are chunks of their own as well, and the first of them lead.
     """
     try:
         data = json.loads(text)
@@ -147,9 +147,9 @@ def json_chunks(text: str, size: int, overlap: int) -> list[tuple[str, str]] | N
                 out.append((group, "\n".join(lines)))
                 lines = []
             lines.append(line)
-        if lines and not long:
-            out.append((group, "\n".join(lines)))
         lead = "\n".join(lines)[: size // 2]
+        if lines and (not long or len("\n".join(lines)) > len(lead)):
+            out.append((group, "\n".join(lines)))
         for k, v in long:
             head = f"{lead}\n{k}: " if lead else f"{k}: "
             room = max(1, size - len(head))

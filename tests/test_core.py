@@ -2,6 +2,7 @@
 
 import collections
 import datetime as dt
+import json
 import math
 import re
 import zoneinfo
@@ -180,6 +181,15 @@ def test_chunk_goldens():
     assert len(spans) > 2 and all(b - a <= 35 for a, b in spans)
 
 
+def test_short_json_fields_beside_a_long_one():
+    fields = {f"field{i}": f"value {i} " + "x" * 60 for i in range(7)}
+    for some in (1, 2, 3, 5, 7):
+        record = dict(list(fields.items())[:some]) | {"body": "word " * 200}
+        got = [x[0] for x in chunking.chunks_of('{"posts": [' + json.dumps(record) + "]}", "json", 400, 50)]
+        assert all(any(f"{k}: {v}" in c for c in got) for k, v in record.items() if k != "body") and all(len(c) <= 400 for c in got)
+        assert sum("body: word" in c for c in got) > 2
+
+
 def test_markdown_chunks(spark):
     text = "# Product Guide\nintro text\n## Auth\nkeys and tokens here\n### Login\nuse the form\n## Billing\npay monthly"
     d = spark.createDataFrame([("k", text.replace("\n", "\r\n"), "md"), ("n", None, "md"), ("e", "", None)], "doc_key string, content string, file_type string")
