@@ -17,10 +17,14 @@ from pyspark.sql import DataFrame
 
 from ..session import cut
 
-# What exporters and transports leave behind a cut.
+#: White space and damaged characters, of which any number may follow a cut.
+DAMAGE = " \t\n\x0b\f\r�\x00"
+# What exporters and transports leave behind a cut. Read from the end of the text backwards, where one
+# anchored pass finds them however much there is; possessive, so that no number of them deepens the stack.
+_ASIDE = r"(?:\.\.\.|…|detacnurt|tuc|erom|deunitnoc)"
 MARKS = (
-    r"(?:\s*(?:\.\.\.|…|\[\s*(?:\.\.\.|…|truncated|cut|more|continued)\s*\]|\(\s*(?:\.\.\.|…|truncated|cut|more|continued)\s*\)"
-    r"|(?:read|show|see|view|continue|keep)\s+(?:more|on|reading)|&#?[A-Za-z0-9]{0,6}|</?[A-Za-z]*|\x{FFFD}+|\x00+))+\s*$"
+    rf"^(?:[\s\x{{FFFD}}\x00]*+(?:\.\.\.|…|\]\s*{_ASIDE}\s*\[|\)\s*{_ASIDE}\s*\("
+    r"|(?:erom|no|gnidaer)\s+(?:daer|wohs|ees|weiv|eunitnoc|peek)|[A-Za-z0-9]{0,6}#?&|[A-Za-z]*/?<))++"
 )
 #: A token: one character of Chinese or Japanese, a word of other letters, a number, a line end, any other sign.
 TOKEN = (
@@ -94,11 +98,11 @@ def truncated_texts(
     patterns = {"listed": LISTED, "token": TOKEN}
     tokens = lambda d: spark.sql(_TOKENS, args=patterns, docs=d)
     inside = cut(spark.sql(_INSIDE, tokens=tokens(base.select("text"))))
-    # the end needs only the text's last stretch, and its identity; marks only the last of that
+    # the end needs only the last stretch of what is left before marks and damage, and the text's identity
     tail = spark.sql(
-        """SELECT doc_id, source, body, trim(TRAILING '\\n\\t\\r ' FROM concat(left(t, greatest(length(t) - 80, 0)), regexp_replace(right(t, 80), :marks, ''))) AS text
-           FROM (SELECT doc_id, source, xxhash64(text) AS body, right(text, 1000) AS t FROM {docs} WHERE text IS NOT NULL)""",
-        args={"marks": f"(?i){MARKS}"}, docs=base,
+        """SELECT doc_id, source, body, right(trim(TRAILING :damage FROM reverse(regexp_replace(t, :marks, ''))), 1000) AS text
+           FROM (SELECT doc_id, source, xxhash64(text) AS body, reverse(trim(TRAILING :damage FROM text)) AS t FROM {docs} WHERE text IS NOT NULL)""",
+        args={"marks": f"(?i){MARKS}", "damage": DAMAGE}, docs=base,
     )
     ends = cut(spark.sql(_ENDS, args={"letter": r"^[\p{L}\p{M}]"}, tokens=tokens(tail)))
     judged = spark.sql(_JUDGED, args={"weight": weight, "sign_weight": sign_weight, "prior": prior}, ends=ends, inside=inside)

@@ -187,6 +187,18 @@ def test_truncation(spark):
     assert truncation.truncated_texts(d.limit(0)).count() == 0
 
 
+def test_truncation_before_much_damage(spark):
+    whole = [f"The {a} reported a {b} today. Nobody could say why the {b} failed. We asked the {a} again." for a in ("owner", "dealer", "driver", "editor") for b in ("fault", "noise", "delay", "smell")]
+    after = ["", "\ufffd" * 200, "\x00" * 200, " " * 2_000, " \ufffd" * 5_000, "…" + "\ufffd" * 300 + " [truncated] \n", "..." * 50, " (more) &am", "</di", " Read more"]
+    docs = [(i, "s", f"{i}: {t}") for i, t in enumerate(whole * 60)]
+    docs += [(10_000 + i, "t", "The owner reported a noise today. Nobody could say why the" + x) for i, x in enumerate(after)]
+    docs += [(20_000 + i, "s", whole[i] + x) for i, x in enumerate(after[:5])] + [(30_000, "s", "\ufffd" * 90)]
+    d = spark.createDataFrame(docs, "doc_id int, source string, text string")
+    got = {r.doc_id: r.truncated for r in truncation.truncated_texts(d).collect()}
+    assert {k for k, v in got.items() if v} == {10_000 + i for i in range(len(after))}
+    assert len(got) == len(docs) - 1
+
+
 @pytest.mark.parametrize("name", ["p1_found", "p2_pieces", "p5_found", "p6_found", "p9_found"])
 def test_queries_run(spark, name):
     assert registry.queries()[name](spark, DATA).columns
