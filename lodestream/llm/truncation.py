@@ -1,14 +1,16 @@
 """Texts cut off by field limits or broken transfers, in pure SQL.
 
-Trigrams of tokens are counted inside the texts and at their ends. A text is cut when its final trigram is common inside
-texts and almost never ends one. A text cut inside a word has a final trigram that occurs nowhere else; then the two
-tokens before it decide: is a text that reaches them ever over one token of that kind later? Sentence marks are tokens
-too, so a complete sentence's last trigram holds its mark, and numbers count as one token so that versions, dates and
-counts do not thin the counts out.
-
-The corpus is read once; occurrences are summed map-side into (pair, token) counts before the only large shuffle, and
-what is shuffled is distinct trigrams, not text. Ends count once per distinct text, or copies of one broken text would
-vouch for each other.
+Trigrams of tokens are counted inside the texts and at their ends. A text is cut when its final trigram is frequent inside
+texts and almost never ends one. Sentence marks are tokens too, so a complete sentence's last trigram holds its mark.
+
+A cut falls inside words as often as between them, and then the final token is a fragment that only other cut texts have.
+So where the last token is a word or a number, the trigram is taken with that token open: the two tokens before it,
+followed by any token of its kind. Fragments then share the counts of the words they are cut from, and the rate at which
+texts stop there does not rise with the number of cut texts. A trigram met too seldom to tell leans on the rate of the
+kinds of its last two tokens; a sign is counted as itself and leans on that sign's rate.
+
+What is shuffled is distinct trigrams with counts, summed map-side, and fixed-size keys of the ends; no text. Ends count
+once per distinct text, or copies of one broken text would vouch for each other.
 """
 
 from __future__ import annotations
@@ -26,69 +28,84 @@ MARKS = (
     rf"^(?:[\s\x{{FFFD}}\x00]*+(?:\.\.\.|…|\]\s*{_ASIDE}\s*\[|\)\s*{_ASIDE}\s*\("
     r"|(?:erom|no|gnidaer)\s+(?:daer|wohs|ees|weiv|eunitnoc|peek)|[A-Za-z0-9]{0,6}#?&|[A-Za-z]*/?<))++"
 )
-#: A token: one character of Chinese or Japanese, a word of other letters, a number, a line end, any other sign.
+#: A token: one character of Chinese or Japanese, a word of other letters, a number with the marks inside it, a line end,
+#: any other sign.
 TOKEN = (
-    r"[\x{3040}-\x{30FF}\x{3400}-\x{9FFF}]|[\p{L}\p{M}&&[^\x{3040}-\x{30FF}\x{3400}-\x{9FFF}]]+|[\p{N}]+|\n\s*|[^\s\p{L}\p{M}\p{N}]"
+    r"[\x{3040}-\x{30FF}\x{3400}-\x{9FFF}]|[\p{L}\p{M}&&[^\x{3040}-\x{30FF}\x{3400}-\x{9FFF}]]++"
+    r"|[\p{N}]++(?:[.,:][\p{N}]++)*+|\n\s*+|[^\s\p{L}\p{M}\p{N}]"
 )
 #: On a line that opens with a sign (list items, signatures, rules, tables), a stretch of words is one token: such lines
 #: are told apart by their build, and a name of several characters must not look like a sentence begun.
 LISTED = r"(?m)((?:^[ \t]*(?=[^\s\p{L}\p{N}])|\G(?!^))[^\p{L}\n]*)\p{L}[\p{L}\p{M} '’-]*"
 
-_TOKENS = """
-SELECT *, concat(array('\\n', '\\n'), regexp_extract_all(regexp_replace(text, :listed, '$1L'), :token, 0)) AS t
-FROM {docs} WHERE text IS NOT NULL AND trim(text) <> ''
+_TOKENS = r"concat(array('\n', '\n'), regexp_extract_all({0}, :token, 0))"
+_FOLDED = "regexp_replace({0}, :listed, '$1\ue000')"
+#: Numbers, and line ends with what blank lines follow them, are one token each.
+_AS = r"CASE WHEN {0} < '!' THEN '\n' WHEN {0} >= '0' AND {0} < ':' THEN '0' ELSE {0} END AS {0}"
+#: Kinds of a token, by its place in the code table: 0 line end, 1 number, 2 listed words, 3 letters, 4 sign.
+_KIND = (
+    r"CASE WHEN {0} = '\n' THEN 0 WHEN {0} = '0' THEN 1 WHEN {0} = '\ue000' THEN 2 WHEN {0} >= 'A' AND {0} < '[' OR {0} >= 'a' AND {0} < '{{{{'"
+    " OR {0} >= 'À' AND {0} < ' ' OR {0} >= '぀' AND {0} < '＀' THEN 3 ELSE 4 END"
+)
+_TRIGRAM = f"xxhash64(a, b) AS pair, xxhash64(b = '0', c) AS last, 8 * ({_KIND.format('b')}) + {_KIND.format('c')} AS kinds"
+_ABC = ", ".join(_AS.format(x) for x in "abc")
+
+_INSIDE = f"""
+SELECT pair, last, kinds, count(*) AS n
+FROM (SELECT {_TRIGRAM}
+      FROM (SELECT {_ABC}
+            FROM (SELECT inline(arrays_zip(slice(t, 1, size(t) - 3), slice(t, 2, size(t) - 3), slice(t, 3, size(t) - 3))) AS (a, b, c)
+                  FROM (SELECT {_TOKENS.format(_FOLDED.format("text"))} AS t FROM {{docs}} WHERE text IS NOT NULL AND trim(text) <> '')
+                  WHERE size(t) > 3)))
+GROUP BY pair, last, kinds
 """
 
-#: Numbers, and line ends with what blank lines follow them, are one token each.
-_AS = "CASE WHEN {0} < '!' THEN '\\n' WHEN {0} >= '0' AND {0} < ':' THEN '0' ELSE {0} END"
-
-_INSIDE = """
-SELECT xxhash64(a, b) AS pair, xxhash64(b = '0', c) AS last, count(*) AS n
-FROM (SELECT {a} AS a, {b} AS b, {c} AS c
-      FROM (SELECT inline(arrays_zip(slice(t, 1, size(t) - 3), slice(t, 2, size(t) - 3), slice(t, 3, size(t) - 3))) AS (a, b, c)
-            FROM {{tokens}} WHERE size(t) > 3))
-GROUP BY ALL
-""".format(**{x: _AS.format(x) for x in "abc"})
-
-_ENDS = """
-SELECT doc_id, source, body, xxhash64(a, b) AS pair, xxhash64(b = '0', c) AS last,
-       CASE WHEN c RLIKE :letter THEN 'letter' WHEN c = '0' THEN 'number' ELSE c END AS kind
-FROM (SELECT doc_id, source, body, {a} AS a, {b} AS b, {c} AS c
-      FROM (SELECT doc_id, source, body, t[size(t) - 3] AS a, t[size(t) - 2] AS b, t[size(t) - 1] AS c FROM {{tokens}} WHERE size(t) > 2))
-""".format(**{x: _AS.format(x) for x in "abc"})
+#: The last three tokens before marks and damage. They are nearly always among the last characters of the last lines;
+#: where these hold fewer than four tokens, the whole text is taken apart.
+_ENDS = rf"""
+SELECT doc_id, source, body, {_TRIGRAM}
+FROM (SELECT doc_id, source, body, {_ABC}
+      FROM (SELECT doc_id, source, body, t[size(t) - 3] AS a, t[size(t) - 2] AS b, t[size(t) - 1] AS c
+            FROM (SELECT doc_id, source, body, if(size(few) > 5, few, {_TOKENS.format(_FOLDED.format("text"))}) AS t
+                  FROM (SELECT *, {_TOKENS.format(f"right({_FOLDED.format(r"substring_index(text, '\n', -4)")}, 200)")} AS few
+                        FROM (SELECT doc_id, source, body, trim(TRAILING :damage FROM reverse(regexp_replace(t, :marks, ''))) AS text
+                              FROM (SELECT doc_id, source, xxhash64(text) AS body, reverse(trim(TRAILING :damage FROM text)) AS t
+                                    FROM {{docs}} WHERE text IS NOT NULL))))
+            WHERE size(t) > 2))
+"""
 
 _JUDGED = """
-WITH ends AS (SELECT pair, last, kind, count(DISTINCT body) AS e FROM {ends} GROUP BY ALL),
-     after_pair AS (SELECT pair, kind, sum(e) AS e FROM ends GROUP BY ALL),
-     end_sign AS (SELECT last, sum(e) AS e FROM ends WHERE kind NOT IN ('letter', 'number') GROUP BY ALL),
-     pairs AS (SELECT pair, sum(n) AS n FROM {inside} GROUP BY pair),
-     signs AS (SELECT s.last, s.e / (s.e + sum(coalesce(i.n, 0))) AS p
-               FROM end_sign s LEFT JOIN {inside} i ON i.last = s.last GROUP BY s.last, s.e),
-     facts AS (
-       SELECT x.pair, x.last, x.kind, x.e AS e3, coalesce(i.n, 0) AS n3, a.e AS e2, coalesce(c.n, 0) AS n2, coalesce(s.p, :prior) AS p1
-       FROM ends x
-       LEFT JOIN {inside} i ON i.pair = x.pair AND i.last = x.last
-       JOIN after_pair a ON a.pair = x.pair AND a.kind = x.kind
-       LEFT JOIN pairs c ON c.pair = x.pair
-       LEFT JOIN signs s ON s.last = x.last)
-SELECT pair, last, kind,
-       CASE WHEN n3 > 0 AND kind IN ('letter', 'number') THEN (e3 - 1 + :weight * :prior) / (n3 + e3 - 1 + :weight)
-            WHEN n3 > 0 THEN (e3 - 1 + :sign_weight * p1) / (n3 + e3 - 1 + :sign_weight)
-            WHEN kind NOT IN ('letter', 'number') THEN p1
-            ELSE (e2 - 1 + :weight / 10 * :prior) / (n2 + e2 - 1 + :weight / 10) END AS end_rate
-FROM facts
+WITH ends AS (SELECT pair, last, kinds, kinds % 8 AS kind, count(*) AS e FROM (SELECT DISTINCT pair, last, kinds, body FROM {ends}) GROUP BY ALL),
+     open_end AS (SELECT pair, kind, sum(e) AS e FROM ends WHERE kind IN (1, 2, 3) GROUP BY ALL),
+     open_inside AS (SELECT pair, kinds % 8 AS kind, sum(n) AS n FROM {inside} WHERE kinds % 8 IN (1, 2, 3) GROUP BY ALL),
+     after_pair AS (SELECT pair, sum(n) AS n FROM {inside} GROUP BY pair),
+     kinds_end AS (SELECT kinds, sum(e) AS e FROM ends GROUP BY kinds),
+     kinds_inside AS (SELECT kinds, sum(n) AS n FROM {inside} GROUP BY kinds),
+     kind_rate AS (SELECT kinds, k.e / (k.e + coalesce(i.n, 0)) AS p FROM kinds_end k LEFT JOIN kinds_inside i USING (kinds)),
+     sign_end AS (SELECT last, sum(e) AS e FROM ends WHERE kind = 4 GROUP BY last),
+     sign_rate AS (SELECT s.last, s.e / (s.e + sum(coalesce(i.n, 0))) AS p
+                   FROM sign_end s LEFT JOIN {inside} i ON i.last = s.last GROUP BY s.last, s.e)
+SELECT pair, last, kinds,
+       CASE WHEN kind IN (1, 2, 3) THEN (open_e - 1 + :weight * kind_p) / (open_n + open_e - 1 + :weight)
+            ELSE (e - 1 + :sign_weight * sign_p) / (if(n = 0, pair_n, n) + e - 1 + :sign_weight) END AS end_rate
+FROM (SELECT x.pair, x.last, x.kinds, x.kind, x.e, coalesce(i.n, 0) AS n, coalesce(a.n, 0) AS pair_n, oe.e AS open_e, coalesce(oi.n, 0) AS open_n,
+             k.p AS kind_p, coalesce(s.p, k.p) AS sign_p
+      FROM ends x
+      JOIN kind_rate k ON k.kinds = x.kinds
+      LEFT JOIN {inside} i ON i.pair = x.pair AND i.last = x.last AND i.kinds = x.kinds
+      LEFT JOIN after_pair a ON a.pair = x.pair
+      LEFT JOIN open_end oe ON oe.pair = x.pair AND oe.kind = x.kind
+      LEFT JOIN open_inside oi ON oi.pair = x.pair AND oi.kind = x.kind
+      LEFT JOIN sign_rate s ON s.last = x.last)
 """
 
 
-def truncated_texts(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", rate: float = 0.01, weight: float = 200.0, sign_weight: float = 1000.0, prior: float = 0.0005
-) -> DataFrame:
+def truncated_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", rate: float = 0.01, weight: float = 20.0, sign_weight: float = 1000.0) -> DataFrame:
     """(doc_id, source, end_rate, truncated) of every text with a token.
 
-    end_rate: estimated chance that a text reaching this text's final tokens is over there, leaving the text itself
-    out; truncated where it is below ``rate``. weight, sign_weight:
-    pseudo-occurrences of the prior of letters and numbers and of a sign's own rate; prior: chance that a text
-    ends after any one letter or number.
+    end_rate: estimated chance that a text that goes on to this text's final trigram is over there, leaving the text itself
+    out; truncated where it is below ``rate``. weight: pseudo-occurrences with which the rate of the last two tokens' kinds
+    enters an open trigram; sign_weight: those of the final sign's own rate.
 
     Null, empty and blank texts, having no end to judge, give no row. Repeated rows each give theirs. An empty table gives
     an empty result, and columns beyond the three named are ignored.
@@ -96,18 +113,11 @@ def truncated_texts(
     spark = docs.sparkSession
     base = docs.selectExpr(f"`{doc_id}` AS doc_id", f"`{source}` AS source", f"`{text}` AS text")
     patterns = {"listed": LISTED, "token": TOKEN}
-    tokens = lambda d: spark.sql(_TOKENS, args=patterns, docs=d)
-    inside = cut(spark.sql(_INSIDE, tokens=tokens(base.select("text"))))
-    # the end needs only the last stretch of what is left before marks and damage, and the text's identity
-    tail = spark.sql(
-        """SELECT doc_id, source, body, right(trim(TRAILING :damage FROM reverse(regexp_replace(t, :marks, ''))), 1000) AS text
-           FROM (SELECT doc_id, source, xxhash64(text) AS body, reverse(trim(TRAILING :damage FROM text)) AS t FROM {docs} WHERE text IS NOT NULL)""",
-        args={"marks": f"(?i){MARKS}", "damage": DAMAGE}, docs=base,
-    )
-    ends = cut(spark.sql(_ENDS, args={"letter": r"^[\p{L}\p{M}]"}, tokens=tokens(tail)))
-    judged = spark.sql(_JUDGED, args={"weight": weight, "sign_weight": sign_weight, "prior": prior}, ends=ends, inside=inside)
+    inside = cut(spark.sql(_INSIDE, args=patterns, docs=base.select("text")))
+    ends = cut(spark.sql(_ENDS, args={**patterns, "marks": f"(?i){MARKS}", "damage": DAMAGE}, docs=base))
+    judged = spark.sql(_JUDGED, args={"weight": weight, "sign_weight": sign_weight}, ends=ends, inside=inside)
     return spark.sql(
-        "SELECT e.doc_id, e.source, j.end_rate, j.end_rate < :rate AS truncated FROM {ends} e JOIN {judged} j USING (pair, last, kind)",
+        "SELECT e.doc_id, e.source, j.end_rate, j.end_rate < :rate AS truncated FROM {ends} e JOIN {judged} j USING (pair, last, kinds)",
         args={"rate": rate}, ends=ends, judged=judged,
     )
 

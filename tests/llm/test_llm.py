@@ -199,6 +199,27 @@ def test_truncation_before_much_damage(spark):
     assert len(got) == len(docs) - 1
 
 
+def planted_cuts(spark, folder):
+    """(recall, precision) on the folder's complete sentences-ended documents, of which one in twelve is cut anywhere inside a sentence."""
+    rng = np.random.default_rng(3)
+    texts = [r.text for r in spark.read.parquet(f"{folder}/documents.parquet").where(r"text RLIKE '(?<!\\.)[.!?。！？]$'").select("text").distinct().orderBy(F.xxhash64("text")).collect()]
+    docs, cut = [], set()
+    for i, t in enumerate(texts):
+        if i % 12 == 0 and len(t) > 80:
+            k = int(rng.integers(40, len(t) - 8))
+            if re.fullmatch(r"[^\W_]{2}", t[k - 1 : k + 1]):  # inside a word or number
+                t = t[:k] + ("", "…", " [truncated]", "\ufffd")[i // 12 % 4]
+                cut.add(i)
+        docs.append((i, "s", t))
+    found = {r.doc_id for r in truncation.truncated_texts(spark.createDataFrame(docs, "doc_id int, source string, text string")).where("truncated").collect()}
+    return len(found & cut) / len(cut), len(found & cut) / len(found)
+
+
+def test_planted_cuts_keep_their_recall(spark):
+    small, large = (planted_cuts(spark, f"/root/testdata/{sf}") for sf in ("sf0.01", "sf0.1"))
+    assert min(small + large) >= 0.95, (small, large)
+
+
 @pytest.mark.parametrize("name", ["p1_found", "p2_pieces", "p5_found", "p6_found", "p9_found"])
 def test_queries_run(spark, name):
     assert registry.queries()[name](spark, DATA).columns
