@@ -60,17 +60,23 @@ FROM (SELECT {_TRIGRAM}
 GROUP BY pair, last, kinds
 """
 
-#: The last three tokens before marks and damage. They are nearly always among the last characters of the last lines;
-#: where these hold fewer than four tokens, the whole text is taken apart.
+#: Characters of the end among which its last tokens are looked for first, and how many must be left without marks.
+_TAIL, _LEFT = 240, 100
+_BARE = r"trim(TRAILING :damage FROM reverse(regexp_replace(reverse(trim(TRAILING :damage FROM {0})), :marks, '')))"
+#: The last three tokens before marks and damage. Where the tail holds them and shows how its lines begin, only the tail is
+#: taken apart, else the whole text; both give the same tokens.
 _ENDS = rf"""
 SELECT doc_id, source, body, {_TRIGRAM}
 FROM (SELECT doc_id, source, body, {_ABC}
       FROM (SELECT doc_id, source, body, t[size(t) - 3] AS a, t[size(t) - 2] AS b, t[size(t) - 1] AS c
-            FROM (SELECT doc_id, source, body, if(size(few) > 5, few, {_TOKENS.format(_FOLDED.format("text"))}) AS t
-                  FROM (SELECT *, {_TOKENS.format(f"right({_FOLDED.format(r"substring_index(text, '\n', -4)")}, 200)")} AS few
-                        FROM (SELECT doc_id, source, body, trim(TRAILING :damage FROM reverse(regexp_replace(t, :marks, ''))) AS text
-                              FROM (SELECT doc_id, source, xxhash64(text) AS body, reverse(trim(TRAILING :damage FROM text)) AS t
-                                    FROM {{docs}} WHERE text IS NOT NULL))))
+            FROM (SELECT doc_id, source, body, if(size(few) > 4 + midline, few, {_TOKENS.format(_FOLDED.format(_BARE.format("text")))}) AS t
+                  FROM (SELECT *, {_TOKENS.format(f"CASE WHEN midline = 1 THEN bare WHEN feed > 0 THEN {_FOLDED.format('substring(bare, feed)')} END")} AS few
+                        FROM (SELECT *, CASE WHEN length(bare) < {_LEFT} OR feed > 0 THEN 0
+                                             WHEN left(ltrim(substring_index(left(text, length(text) - {_TAIL} + length(bare)), '\n', -1)), 1) RLIKE :word THEN 1
+                                             ELSE 0 END AS midline
+                              FROM (SELECT *, if(length(bare) < {_LEFT}, 0, instr(bare, '\n')) AS feed
+                                    FROM (SELECT doc_id, source, text, xxhash64(text) AS body, {_BARE.format(f"right(text, {_TAIL})")} AS bare
+                                          FROM {{docs}} WHERE text IS NOT NULL)))))
             WHERE size(t) > 2))
 """
 
@@ -114,7 +120,7 @@ def truncated_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     base = docs.selectExpr(f"`{doc_id}` AS doc_id", f"`{source}` AS source", f"`{text}` AS text")
     patterns = {"listed": LISTED, "token": TOKEN}
     inside = cut(spark.sql(_INSIDE, args=patterns, docs=base.select("text")))
-    ends = cut(spark.sql(_ENDS, args={**patterns, "marks": f"(?i){MARKS}", "damage": DAMAGE}, docs=base))
+    ends = cut(spark.sql(_ENDS, args={**patterns, "marks": f"(?i){MARKS}", "damage": DAMAGE, "word": r"[\p{L}\p{N}]"}, docs=base))
     judged = spark.sql(_JUDGED, args={"weight": weight, "sign_weight": sign_weight}, ends=ends, inside=inside)
     return spark.sql(
         "SELECT e.doc_id, e.source, j.end_rate, j.end_rate < :rate AS truncated FROM {ends} e JOIN {judged} j USING (pair, last, kinds)",
