@@ -50,13 +50,15 @@ _KIND = (
 _TRIGRAM = f"xxhash64(a, b) AS pair, xxhash64(b = '0', c) AS last, 8 * ({_KIND.format('b')}) + {_KIND.format('c')} AS kinds"
 _ABC = ", ".join(_AS.format(x) for x in "abc")
 
+#: No filter stands on what the tokens are made into, here and below: it would be pushed under them and make them again.
 _INSIDE = f"""
 SELECT pair, last, kinds, count(*) AS n
 FROM (SELECT {_TRIGRAM}
       FROM (SELECT {_ABC}
-            FROM (SELECT inline(arrays_zip(slice(t, 1, size(t) - 3), slice(t, 2, size(t) - 3), slice(t, 3, size(t) - 3))) AS (a, b, c)
-                  FROM (SELECT {_TOKENS.format(_FOLDED.format("text"))} AS t FROM {{docs}} WHERE text IS NOT NULL AND trim(text) <> '')
-                  WHERE size(t) > 3)))
+            FROM (SELECT inline_outer(arrays_zip(slice(t, 1, n), slice(t, 2, n), slice(t, 3, n))) AS (a, b, c)
+                  FROM (SELECT t, greatest(size(t) - 3, 0) AS n
+                        FROM (SELECT {_TOKENS.format(_FOLDED.format("text"))} AS t FROM {{docs}} WHERE text IS NOT NULL)))
+            WHERE c IS NOT NULL))
 GROUP BY pair, last, kinds
 """
 
@@ -66,9 +68,9 @@ _BARE = r"trim(TRAILING :damage FROM reverse(regexp_replace(reverse(trim(TRAILIN
 #: The last three tokens before marks and damage. Where the tail holds them and shows how its lines begin, only the tail is
 #: taken apart, else the whole text; both give the same tokens.
 _ENDS = rf"""
-SELECT doc_id, source, body, {_TRIGRAM}
-FROM (SELECT doc_id, source, body, {_ABC}
-      FROM (SELECT doc_id, source, body, t[size(t) - 3] AS a, t[size(t) - 2] AS b, t[size(t) - 1] AS c
+SELECT doc_id, source, body, tokens, {_TRIGRAM}
+FROM (SELECT doc_id, source, body, tokens, {_ABC}
+      FROM (SELECT doc_id, source, body, size(t) - 2 AS tokens, get(t, size(t) - 3) AS a, get(t, size(t) - 2) AS b, get(t, size(t) - 1) AS c
             FROM (SELECT doc_id, source, body, if(size(few) > 4 + midline, few, {_TOKENS.format(_FOLDED.format(_BARE.format("text")))}) AS t
                   FROM (SELECT *, {_TOKENS.format(f"CASE WHEN midline = 1 THEN bare WHEN feed > 0 THEN {_FOLDED.format('substring(bare, feed)')} END")} AS few
                         FROM (SELECT *, CASE WHEN length(bare) < {_LEFT} OR feed > 0 THEN 0
@@ -76,8 +78,7 @@ FROM (SELECT doc_id, source, body, {_ABC}
                                              ELSE 0 END AS midline
                               FROM (SELECT *, if(length(bare) < {_LEFT}, 0, instr(bare, '\n')) AS feed
                                     FROM (SELECT doc_id, source, text, xxhash64(text) AS body, {_BARE.format(f"right(text, {_TAIL})")} AS bare
-                                          FROM {{docs}} WHERE text IS NOT NULL)))))
-            WHERE size(t) > 2))
+                                          FROM {{docs}} WHERE text IS NOT NULL)))))))
 """
 
 _JUDGED = """
@@ -120,7 +121,7 @@ def truncated_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     base = docs.selectExpr(f"`{doc_id}` AS doc_id", f"`{source}` AS source", f"`{text}` AS text")
     patterns = {"listed": LISTED, "token": TOKEN}
     inside = cut(spark.sql(_INSIDE, args=patterns, docs=base.select("text")))
-    ends = cut(spark.sql(_ENDS, args={**patterns, "marks": f"(?i){MARKS}", "damage": DAMAGE, "word": r"[\p{L}\p{N}]"}, docs=base))
+    ends = cut(spark.sql(_ENDS, args={**patterns, "marks": f"(?i){MARKS}", "damage": DAMAGE, "word": r"[\p{L}\p{N}]"}, docs=base)).where("tokens > 0")
     judged = spark.sql(_JUDGED, args={"weight": weight, "sign_weight": sign_weight}, ends=ends, inside=inside)
     return spark.sql(
         "SELECT e.doc_id, e.source, j.end_rate, j.end_rate < :rate AS truncated FROM {ends} e JOIN {judged} j USING (pair, last, kinds)",
