@@ -3,7 +3,9 @@
 Every value is parsed, JVM-side, under each reading it admits. Which reading a source means is decided by
 expectation-maximisation over the mixture of readings of that source: a value contributes likelihood under each
 valid parse, the posterior chooses, and values whose best posterior stays below a threshold are marked ambiguous.
-A date order stated for the source is binding, as is "eight bare digits are a date".
+An all-numeric date is read both ways round wherever both are dates. A date order stated for the source counts as much as
+all the source's numeric dates together, so a source that keeps to it is read by it, and one whose values contradict it
+is not; a stated year-first order says nothing on the other two parts. "Eight bare digits are a date" is binding.
 
 The E-step needs only (source, set of valid readings) counts, so the rows are pre-aggregated before any shuffle and
 one source costs at most 2^readings rows, however many values it wrote.
@@ -58,13 +60,18 @@ def _fields(raw: Column) -> Column:
     wide = "".join(chr(0xFF01 + i) for i in range(94))
     s = F.translate(raw, wide + "　  ", "".join(chr(0x21 + i) for i in range(94)) + "   ")
     s = F.regexp_replace(F.regexp_replace(s, r"[\p{Cf}]", ""), r"^\s+|\s+$", "")
-    return F.split(F.coalesce(*(F.when(s.rlike(p), F.regexp_replace(s, p, r)) for p, r in _FORMS)), r"\|")
+    first, fifth = s.substr(1, 1), s.substr(5, 1)
+    by = lambda *forms: F.coalesce(*(F.when(s.rlike(_FORMS[i][0]), F.regexp_replace(s, *_FORMS[i])) for i in forms))
+    # two characters tell which forms can fit at all
+    fitting = F.when(~first.between("0", "9"), by(4, 5, 6)).when(fifth.isin("-", "/", "."), by(0, 3, 5)).otherwise(by(1, 2, 3, 5, 7))
+    return F.split(fitting, r"\|")
 
 
 def readings(df: DataFrame, value: str, source: str, zones: DataFrame) -> DataFrame:
     """Adds ``valid`` (mask of READINGS), ``local`` (array by reading of local or UTC milliseconds) and ``shift`` kinds.
 
-    zones: one row per source with ``time_zone`` and ``date_order``; sources without a row have neither.
+    zones: one row per source with ``time_zone`` and ``date_order``; sources without a row have neither. ``__order`` is
+    the stated order.
     """
     f, n = F.col("__f"), F.col("__n")
     part = lambda i: F.nullif(f[i], F.lit(""))
@@ -89,7 +96,7 @@ def readings(df: DataFrame, value: str, source: str, zones: DataFrame) -> DataFr
         return F.unix_date(whole.cast("date")).cast("bigint") * 86400000 + F.col("__clock")
 
     digits = F.when(F.col("__kind") == "E", f[1].try_cast("decimal(20,0)"))
-    lo, hi = 631152000000, 4102444800000  # 1990 to 2100: a count outside is not a moment anyone posted at
+    lo, hi = 31536000000, 9999999999999  # 1971 to 2286: within it, the number of digits tells the unit
 
     def count(per_ms: int, times: int = 1) -> Column:
         ms = (F.floor(digits / per_ms) if per_ms > 1 else digits * times).cast("bigint")
@@ -99,8 +106,8 @@ def readings(df: DataFrame, value: str, source: str, zones: DataFrame) -> DataFr
     d = d.withColumns(
         {
             "__stated": F.when(~numeric, local_ms(n[1], F.col("__mon"), n[3])),
-            "__md": F.when(numeric & (F.coalesce(F.col("__order"), F.lit("MDY")) == "MDY"), local_ms(n[3], n[1], n[2])),
-            "__dm": F.when(numeric & (F.coalesce(F.col("__order"), F.lit("DMY")) != "MDY"), local_ms(n[3], n[2], n[1])),
+            "__md": F.when(numeric, local_ms(n[3], n[1], n[2])),
+            "__dm": F.when(numeric, local_ms(n[3], n[2], n[1])),
         }
     )
     stated = lambda kind: F.when(F.col("__kind") == kind, F.col("__stated"))
@@ -114,16 +121,29 @@ def readings(df: DataFrame, value: str, source: str, zones: DataFrame) -> DataFr
     return d.withColumn("__mask", mask)
 
 
-def em_weights(counts: pd.DataFrame, rounds: int = 60, prior: float = 0.5) -> np.ndarray:
-    """Mixture weights of the readings of one source from (mask, n) rows; prior: Dirichlet pseudo-count a reading."""
+_ORDERS = {"MDY": READINGS.index("month_day"), "DMY": READINGS.index("day_month")}
+#: Share of a source's numeric dates expected to be in neither order; a reading the source hardly uses loses to it.
+STRAY = 0.02
+
+
+def em_weights(counts: pd.DataFrame, order: str | None = None, rounds: int = 200, prior: float = 0.5) -> np.ndarray:
+    """Mixture weights of the readings of one source from (mask, n) rows.
+
+    prior: Dirichlet pseudo-count a reading; that of a stated order has the number of numeric dates added, and the order
+    not stated has STRAY.
+    """
     masks = counts["mask"].to_numpy(np.int64)
     n = counts["n"].to_numpy(float)
     can = ((masks[:, None] >> np.arange(len(READINGS))) & 1).astype(float)
+    base = np.full(len(READINGS), prior)
+    if order in _ORDERS:
+        base[[i for o, i in _ORDERS.items() if o != order]] = STRAY
+        base[_ORDERS[order]] += n[can[:, list(_ORDERS.values())].any(1)].sum()
     w = np.full(len(READINGS), 1 / len(READINGS))
     for _ in range(rounds):
         post = can * w
         post /= np.maximum(post.sum(1, keepdims=True), 1e-300)
-        new = (post * n[:, None]).sum(0) + prior
+        new = (post * n[:, None]).sum(0) + base
         new /= new.sum()
         if np.abs(new - w).max() < 1e-9:
             break
@@ -136,7 +156,9 @@ def normalise_timestamps(
 ) -> DataFrame:
     """df with ``utc_ms`` bigint, ``reading`` string, ``posterior`` double and ``status`` string added.
 
-    status: ``resolved``, ``ambiguous`` (several valid readings, none of posterior >= threshold), ``no_zone`` (a wall time
+    posterior: share of the chosen instant in the likelihood of the value's valid readings and, for a numeric date, of the
+    chance STRAY that the source's orders do not hold for it.
+    status: ``resolved``, ``ambiguous`` (no instant of posterior >= threshold), ``no_zone`` (a wall time
     of a source without a known zone) or ``unresolved`` (null, blank, not a moment, an impossible date or time, a date
     without a time of day). utc_ms is null unless resolved. Repeated rows each get the same result; an empty table
     gives an empty one; columns of df are kept (names beginning with two underscores are reserved).
@@ -147,10 +169,10 @@ def normalise_timestamps(
     weights = (
         r.where(F.col("__mask") > 0)
         .groupBy(F.coalesce(F.col(source), F.lit("")).alias("__s"), F.col("__mask").alias("mask"))
-        .agg(F.count("*").alias("n"))
+        .agg(F.count("*").alias("n"), F.max("__order").alias("order"))
         .groupBy("__s")
         .applyInPandas(
-            lambda p: pd.DataFrame({"__s": [p["__s"].iloc[0]], "__w": [em_weights(p).tolist()]}),
+            lambda p: pd.DataFrame({"__s": [p["__s"].iloc[0]], "__w": [em_weights(p, p["order"].iloc[0]).tolist()]}),
             T.StructType([T.StructField("__s", T.StringType()), T.StructField("__w", T.ArrayType(T.DoubleType()))]),
         )
     )
@@ -161,7 +183,11 @@ def normalise_timestamps(
     total = sum((F.col("__l")[i] for i in range(1, len(READINGS))), F.col("__l")[0])
     r = r.withColumns({"__best": F.array_max("__l"), "__total": total})
     r = r.withColumn("__i", F.array_position("__l", F.col("__best")).cast("int") - 1)
-    posterior = F.when(F.col("__mask") > 0, F.col("__best") / F.col("__total"))
+    md, dm = _ORDERS["MDY"], _ORDERS["DMY"]
+    # both orders of the same day are one instant
+    chosen_l = F.when(ms[md] == ms[dm], F.col("__l")[md] + F.col("__l")[dm]).otherwise(F.col("__best"))
+    stray = F.when(ms[md].isNotNull() | ms[dm].isNotNull(), (w[md] + w[dm]) * STRAY).otherwise(0.0)
+    posterior = F.when(F.col("__mask") > 0, chosen_l / (F.col("__total") + stray))
     chosen = F.when(F.col("__mask") > 0, F.get("__ms", F.col("__i")))
     zone = F.regexp_replace(F.col("__zone"), r"^(.*[^\]])\[.*\]$", "$1")
     offset = F.regexp_extract(zone, r"^([+-]\d{2}):?(\d{2})?$", 1)

@@ -74,6 +74,28 @@ def test_timestamps_em_learns_an_unstated_order(spark):
     assert timestamps.normalise_timestamps(one.limit(0), "published_at", "platform", z).count() == 0
 
 
+def test_timestamps_posterior_settles(spark):
+    """What the statements leave open is settled by the posterior or marked: rows by source, with the reading or status wanted."""
+    z = spark.createDataFrame([("keeps", "UTC", "DMY"), ("breaks", "UTC", "DMY"), ("mixes", "UTC", None), ("year", "UTC", "YMD")], "platform string, time_zone string, date_order string")
+    month_first = [f"{m:02}/{d}/2026 10:00" for m in range(1, 5) for d in range(13, 28)]
+    day_first = [f"{d}/{m:02}/2026 10:00" for m in range(1, 5) for d in range(13, 28)]
+    rows = [("keeps", x) for x in day_first * 10] + [("keeps", "03/04/2026 10:00"), ("keeps", month_first[0]), ("keeps", "05/05/2026 10:00")]
+    rows += [("breaks", x) for x in month_first * 10] + [("breaks", "03/04/2026 10:00")]
+    rows += [("mixes", x) for x in month_first + day_first] + [("mixes", "03/04/2026 10:00"), ("mixes", "05/05/2026 10:00")]
+    rows += [("year", x) for x in month_first] + [("year", "03/04/2026 10:00")] + [("none", x) for x in day_first] + [("none", "03/04/2026 10:00Z")]
+    rows += [("mixes", "500000000"), ("mixes", "500000000000")]
+    d = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, platform string, published_at string")
+    got = {(r.platform, r.published_at): r for r in timestamps.normalise_timestamps(d, "published_at", "platform", z).collect()}
+    april, march = utc(2026, 4, 3, 10, 0), utc(2026, 3, 4, 10, 0)
+    assert (got["keeps", "03/04/2026 10:00"].utc_ms, got["keeps", "05/05/2026 10:00"].status) == (april, "resolved")
+    assert got["keeps", month_first[0]].status == "ambiguous"  # not the source's order, and no other
+    assert got["breaks", "03/04/2026 10:00"].status == "ambiguous" and 0.3 < got["breaks", "03/04/2026 10:00"].posterior < 0.7
+    assert got["breaks", month_first[0]].status == "resolved"
+    assert got["mixes", "03/04/2026 10:00"].status == "ambiguous" and got["mixes", "05/05/2026 10:00"].status == "resolved"
+    assert got["year", "03/04/2026 10:00"].utc_ms == march and got["none", "03/04/2026 10:00Z"].utc_ms == april
+    assert (got["mixes", "500000000"].utc_ms, got["mixes", "500000000000"].utc_ms) == (500000000000, 500000000000)
+
+
 def brute_tree(parents):
     out = {}
     for s in parents:
