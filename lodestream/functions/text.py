@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}_]+"
@@ -18,6 +18,15 @@ def tokens(text: Column) -> Column:
     return F.flatten(F.transform(words, lambda w: F.when(w.rlike(HAN), F.regexp_extract_all(w, F.lit(HAN), 0)).otherwise(F.array(w))))
 
 
+def exploded(df: DataFrame, column: str, name: str) -> DataFrame:
+    """df with a row for each element of the array column, as ``name``; empty and null arrays give none.
+
+    The outer form with a filter above it: Spark would infer a filter on the array's size for the inner one and push it
+    under the expression that makes the array, which then runs twice.
+    """
+    return df.withColumn(name, F.explode_outer(column)).drop(column).where(F.col(name).isNotNull())
+
+
 def graph_terms(text: Column, stopwords: tuple[str, ...] = STOPWORDS) -> Column:
     """Distinct Latin identifiers of two or more characters and runs of Chinese ones, without stop words."""
     found = F.transform(F.regexp_extract_all(text, F.lit(GRAPH_TERM), 0), lambda w: F.btrim(F.lower(w), F.lit("_-")))

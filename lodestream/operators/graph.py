@@ -13,7 +13,7 @@ from .ordering import numbered
 
 def mentions(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term), distinct."""
-    return docs.select(key, F.explode(X.graph_terms(F.coalesce(F.col(text), F.lit("")))).alias("term"))
+    return X.exploded(docs.select(key, X.graph_terms(F.coalesce(F.col(text), F.lit(""))).alias("t")), "t", "term")
 
 
 def informative_terms(docs: DataFrame, key: str, text: str, percentile: float = 50) -> DataFrame:
@@ -48,26 +48,28 @@ def term_neighbours(docs: DataFrame, key: str, text: str, seeds: DataFrame, perc
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 
 
-def same_source_edges(docs: DataFrame, key: str, source: str, reach: int | None = None, block: int = 1_000) -> DataFrame:
-    """(from, to, weight) between all documents of one source, d places apart, weight max(.2, 1 - .15 (d - 1)).
+#: Weight of the most distant pairs of a source, and how much each place further apart takes from 1.
+FLOOR, STEP = 0.2, 0.15
 
-    With ``reach``, only those up to so many places apart. All pairs of a source grow as its square; they are made from
-    pairs of blocks of ``block`` documents, so that no task has more than block^2 of them for a key.
+
+def same_source_edges(docs: DataFrame, key: str, source: str, reach: int | None = None) -> DataFrame:
+    """(from, to, source, place, weight): all documents of one source are linked, d places apart with max(.2, 1 - .15 (d - 1)).
+
+    All pairs of a source grow as its square, and all beyond six places apart have the same weight. So pairs above it are
+    rows with ``from`` and ``to``, and the rest is given by membership: a row for each document with ``to`` null, its
+    place in the source and the floor weight, which any two members without a row of their own have. With ``reach``, only
+    the pairs up to so many places apart and no membership. Null sources link nothing.
     """
     d = cut(numbered(docs.where(F.col(source).isNotNull()).select(key, source), source, key))
+    near = reach if reach is not None else next(i for i in range(1, 100) if round(1 - STEP * i, 6) <= FLOOR)
+    steps = F.explode(F.array(*(F.lit(i) for i in range(1, near + 1)))).alias("d")
+    a = d.select(F.col(key).alias("from"), source, "n", steps).withColumn("n", F.col("n") + F.col("d"))
+    weight = F.round(F.greatest(F.lit(FLOOR), 1 - STEP * (F.col("d") - 1)), 4)
+    pairs = a.join(d.withColumnRenamed(key, "to"), [source, "n"]).select("from", "to", F.col(source).alias("source"), F.lit(None).cast("bigint").alias("place"), weight.alias("weight"))
     if reach is not None:
-        steps = F.explode(F.array(*(F.lit(i) for i in range(1, reach + 1)))).alias("d")
-        a = d.select(F.col(key).alias("from"), source, "n", steps).withColumn("n", F.col("n") + F.col("d"))
-        pairs = a.join(d.withColumnRenamed(key, "to"), [source, "n"])
-    else:
-        at = F.floor((F.col("n") - 1) / block)
-        last = d.groupBy(source).agg(F.max(at).alias("last"))
-        d = d.withColumn("at", at).join(last, source)
-        a = d.select(F.col(key).alias("from"), source, F.col("n").alias("n1"), F.col("at").alias("i"), F.explode(F.sequence("at", "last")).alias("j"))
-        b = d.select(F.col(key).alias("to"), source, F.col("n").alias("n2"), F.explode(F.sequence(F.lit(0).cast("bigint"), "at")).alias("i"), F.col("at").alias("j"))
-        pairs = a.join(b, [source, "i", "j"]).where("n1 < n2").withColumn("d", F.col("n2") - F.col("n1"))
-    weight = F.round(F.greatest(F.lit(0.2), 1 - 0.15 * (F.col("d") - 1)), 4)
-    return pairs.select("from", "to", weight.alias("weight"))
+        return pairs
+    kind = docs.schema[key].dataType
+    return pairs.unionByName(d.select(F.col(key).alias("from"), F.lit(None).cast(kind).alias("to"), F.col(source).alias("source"), F.col("n").cast("bigint").alias("place"), F.lit(FLOOR).alias("weight")))
 
 
 def shared_value_edges(docs: DataFrame, key: str, value: str, weight: float) -> DataFrame:
@@ -94,11 +96,12 @@ def seed_informativeness(hits: DataFrame, docs: DataFrame, key: str, text: str,
 
     idf = ln(1 + (n - df + .5) / (df + .5)) over ln(n + 1), where n is the largest df of any term.
     """
-    m = cut(mentions(docs, key, text))
     first = hits.where(F.col("rank") <= seeds).select("query", key)
-    df = m.groupBy("term").agg(F.count("*").alias("df"))
+    # distinct terms with counts, read twice
+    df = cut(mentions(docs, key, text).groupBy("term").agg(F.count("*").alias("df")))
     n = df.agg(F.max("df").cast("double").alias("n"))
-    asked = first.join(m, key).select("query", "term").distinct()
+    of_seeds = mentions(docs.join(first.select(key).distinct(), key, "left_semi"), key, text)
+    asked = first.join(of_seeds, key).select("query", "term").distinct()
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) / F.log(F.col("n") + 1)
     each = asked.join(df, "term").crossJoin(F.broadcast(n)).groupBy("query").agg(F.avg(idf).alias("informativeness"))  # one row
     return first.select("query").distinct().join(each, "query", "left").select("query", F.coalesce("informativeness", F.lit(0.0)).alias("informativeness"))

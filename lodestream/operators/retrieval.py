@@ -6,6 +6,8 @@ on partitioning.
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from ..session import cut
 
 
 def top(df: DataFrame, by: str, score: Column, tie: str, k: int) -> DataFrame:
@@ -28,7 +31,7 @@ def term_statistics(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(term, df, idf): distinct documents of each term; idf = ln(1 + (N - df + .5) / (df + .5))."""
     t = docs.select(key, X.tokens(F.col(text)).alias("t"))
     n = t.count()
-    df = t.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    df = X.exploded(t.withColumn("t", F.array_distinct("t")), "t", "term").groupBy("term").agg(F.count("*").alias("df"))
     return df.withColumn("idf", F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
 
 
@@ -41,17 +44,23 @@ def bm25(
     leave the scan. A larger one is joined: only occurrences of query terms leave the scan, their (document, term)
     counts combined map-side. Null or empty texts and queries match nothing.
     """
-    toks = docs.select(F.col(key).alias("doc"), X.tokens(F.coalesce(F.col(text), F.lit(""))).alias("t"))
+    return bm25_indexed(docs.select(F.col(key).alias("doc"), X.tokens(F.coalesce(F.col(text), F.lit(""))).alias("t")), key, queries, query_key, query_text, k, k1, b)
+
+
+def bm25_indexed(toks: DataFrame, key: str, queries: DataFrame, query_key: str, query_text: str, k: int = 5, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """``bm25`` over tokens (doc, t) made before, as ``text_index`` keeps them."""
     n, mean = toks.agg(F.count("*"), F.avg(F.size("t"))).first()
-    wanted = queries.select(F.col(query_key).alias("query"), F.explode(X.tokens(F.col(query_text))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times"))
+    wanted = X.exploded(queries.select(F.col(query_key).alias("query"), X.tokens(F.col(query_text)).alias("t")), "t", "term").groupBy("query", "term").agg(F.count("*").alias("times"))
     wanted = wanted.persist()
     vocabulary = wanted.select("term").distinct()
     asked, words = wanted.select("query").distinct().count(), vocabulary.count()
-    found = toks.select("doc", F.size("t").alias("dl"), F.explode(F.array_distinct("t") if asked * words <= MOST_CELLS else F.col("t")).alias("term")).join(vocabulary, "term", "left_semi")
+    each = toks.select("doc", F.size("t").alias("dl"), F.array_distinct("t").alias("t") if asked * words <= MOST_CELLS else "t")
+    found = X.exploded(each, "t", "term").join(vocabulary, "term", "left_semi")
     idf = lambda df: F.log(1 + (F.lit(float(n)) - df + 0.5) / (df + 0.5))
     if asked * words <= MOST_CELLS:
         df = found.groupBy("term").agg(F.count("*").alias("df")).select("term", idf(F.col("df")).alias("idf"))
         scored = _scores_by_block(toks, wanted.join(df, "term").collect(), float(mean or 1.0), k, k1, b)
+        wanted.unpersist()
     else:
         tf = found.groupBy("doc", "dl", "term").agg(F.count("*").alias("tf"))
         df = tf.groupBy("term").agg(F.count("*").alias("df"))
@@ -60,6 +69,11 @@ def bm25(
     return top(scored.where("score > 0"), "query", F.col("score"), "doc", k).withColumnRenamed("doc", key)
 
 
+def text_index(docs: DataFrame, key: str, text: str, dimensions: int = 256) -> DataFrame:
+    """(key, t, vector): tokens and hash embedding of each text, written once to the shared folder and read by every query set."""
+    return cut(embed(docs.select(key, text, X.tokens(F.coalesce(F.col(text), F.lit(""))).alias("t")), key, text, dimensions, ("t",)))
+
+
 #: Query terms by queries up to which the weights go to the tasks as one block (8 bytes a cell, 64 MB); beyond it they are joined.
 MOST_CELLS = 8_000_000
 
@@ -77,9 +91,10 @@ def _scores_by_block(toks: DataFrame, weights: list, mean: float, k: int, k1: fl
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, names, block = shared.value
         lookup = pa.array(words, pa.string())
+        step = max(1, min(1000, MOST_CELLS // max(len(words), len(names), 1)))
         for whole in batches:
-            for lo in range(0, whole.num_rows, 1000):
-                part = whole.slice(lo, 1000)
+            for lo in range(0, whole.num_rows, step):
+                part = whole.slice(lo, step)
                 part = part.take(pc.sort_indices(part.column(0)))  # ties go to the smaller document
                 lists = part.column(1)
                 length = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(float)
@@ -100,47 +115,122 @@ def _scores_by_block(toks: DataFrame, weights: list, mean: float, k: int, k1: fl
     return toks.mapInArrow(run, f"query {of}, doc {kind}, score double")
 
 
-def hash_embedding(docs: DataFrame, key: str, text: str, dimensions: int = 64) -> DataFrame:
-    """(key, pos, value): the non-zero components of the L2-normalised hash embedding of each text."""
-    t = docs.select(key, F.explode(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(X.WORD), 0)).alias("tok"))
-    t = t.groupBy(key, "tok").agg(F.count("*").alias("n"))
-    h = F.sha2("tok", 256)
-    pos = F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint"), F.lit(dimensions))
-    sign = F.when(F.conv(F.substring(h, 9, 2), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0)
-    sums = t.groupBy(key, pos.alias("pos")).agg(F.sum(F.col("n") * sign * (1 + F.log1p(F.length("tok").cast("double")))).alias("v"))
-    norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy(key)))
-    return sums.withColumn("value", F.col("v") / norm).where("abs(v) > 1e-9").select(key, "pos", "value")
-
-
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+def embed(docs: DataFrame, key: str, text: str, dimensions: int = 256, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, vector, *keep): the L2-normalised hash embedding of each text, all zero for a text without words.
 
+    Words are cut JVM-side; each distinct word of an Arrow batch is hashed once, the sums are one bincount. No shuffle.
+    """
+    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(X.WORD), 0)
 
-def vector_top(vectors: DataFrame, key: str, vector: str, queries: DataFrame, metric: str = "cosine", k: int = 10) -> DataFrame:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 2000):
+                part = whole.slice(lo, 2000)
+                lists = part.column(1)
+                coded = lists.flatten().dictionary_encode()
+                names = coded.dictionary.to_pylist()
+                digests = [hashlib.sha256(w.encode()).digest() for w in names]
+                pos = np.array([int.from_bytes(h[:4], "big") % dimensions for h in digests], np.int64)
+                value = np.array([(1.0 if h[4] % 2 == 0 else -1.0) * (1 + math.log1p(len(w))) for h, w in zip(digests, names, strict=True)])
+                at = coded.indices.to_numpy(zero_copy_only=False)
+                doc = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(int))
+                sums = np.bincount(doc * dimensions + pos[at], value[at], len(lists) * dimensions).reshape(-1, dimensions) if len(at) else np.zeros((len(lists), dimensions))
+                norm = np.sqrt((sums * sums).sum(1, keepdims=True))
+                flat = np.divide(sums, norm, out=np.zeros_like(sums), where=norm > 0).reshape(-1)
+                offsets = pa.array(np.arange(len(lists) + 1, dtype=np.int32) * dimensions)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, pa.array(flat)), *part.columns[2:]], [key, "vector", *keep])
+
+    kinds = [(c, docs.schema[c].dataType.simpleString()) for c in keep]
+    schema = ", ".join(f"`{c}` {t}" for c, t in [(key, docs.schema[key].dataType.simpleString()), ("vector", "array<double>"), *kinds])
+    return docs.select(key, words, *keep).mapInArrow(run, schema)
+
+
+def hash_embedding(docs: DataFrame, key: str, text: str, dimensions: int = 256) -> DataFrame:
+    """(key, pos, value): the non-zero components of ``embed``."""
+    e = embed(docs, key, text, dimensions).select(key, F.posexplode_outer("vector").alias("pos", "value"))
+    return e.where("abs(value) > 1e-9").withColumn("pos", F.col("pos").cast("bigint"))
+
+
+def _matrices(rows: list) -> dict[int, tuple[list, np.ndarray]]:
+    """Keys and matrix of the (query, vector) rows of each length."""
+    by: dict[int, list] = {}
+    for r in rows:
+        by.setdefault(len(r[1]), []).append(r)
+    return {n: ([r[0] for r in rs], np.array([list(r[1]) for r in rs], float).reshape(len(rs), n)) for n, rs in by.items()}
+
+
+def _nearest(names: list, q: np.ndarray, keys: pa.Array, v: np.ndarray, metric: str, k: int) -> tuple[list, np.ndarray, np.ndarray]:
+    """(queries, places in keys, scores) of the k best for each query among the vectors of one batch, sorted by key."""
+    dot = v @ q.T
+    vn, qn = np.sqrt((v * v).sum(1))[:, None], np.sqrt((q * q).sum(1))[None]
+    if metric == "cosine":
+        dot = np.divide(dot, vn * qn, out=np.zeros_like(dot), where=vn * qn > 0)
+    elif metric == "l2":
+        dot = -np.sqrt(np.maximum(0.0, vn * vn + qn * qn - 2 * dot))
+    score = np.round(dot, 6)
+    place = {x: i for i, x in enumerate(keys.to_pylist())}
+    for j, name in enumerate(names):
+        if name in place:
+            score[place[name], j] = -np.inf
+    best = np.argsort(-score, axis=0, kind="stable")[:k]
+    value = np.take_along_axis(score, best, 0)
+    ok = value > -np.inf
+    return [names[j] for j in np.broadcast_to(np.arange(len(names)), best.shape)[ok]], best[ok], value[ok]
+
+
+def vector_top(vectors: DataFrame, key: str, vector: str, queries: DataFrame, metric: str = "cosine", k: int = 10, query_key: str | None = None) -> DataFrame:
     """(query, key, score, rank): exact nearest vectors of each query vector by cosine, inner product or L2 distance.
 
-    queries has the same columns; it is the stated query set against all rows, joined as one broadcast block while it is
-    small (Spark's own size check) and scored in the scan. A zero vector has cosine 0.
+    queries is the stated query set against all rows, with ``query_key`` (default: key) and the vector. Its vectors go to the
+    tasks as blocks of at most MOST_CELLS numbers, each scored against a batch of rows as one matrix product, and only the k
+    best of a batch leave the scan; a set of one block is broadcast, the blocks of a larger one are rows that meet the
+    batches. A row never finds itself (equal keys). Null vectors and those of another length match nothing; a zero
+    vector has cosine 0; ties go to the smaller key.
     """
-    q = queries.select(F.col(key).alias("query"), F.col(vector).alias("qv"))
-    q = q.withColumn("qn", F.sqrt(_dot(F.col("qv"), F.col("qv"))))
-    d = vectors.select(F.col(key).alias("doc"), F.col(vector).alias("v")).withColumn("n", F.sqrt(_dot(F.col("v"), F.col("v"))))
-    pairs = d.join(q, F.size("v") == F.size("qv"))
-    dot = _dot(F.col("v"), F.col("qv"))
-    score = {
-        "cosine": F.when(F.col("n") * F.col("qn") == 0, 0.0).otherwise(dot / (F.col("n") * F.col("qn"))),
-        "ip": dot,
-        "l2": -F.sqrt(F.greatest(F.lit(0.0), F.col("n") * F.col("n") + F.col("qn") * F.col("qn") - 2 * dot)),
-    }[metric]
-    scored = pairs.where("doc <> query").select("query", "doc", F.round(score, 6).alias("score"))
-    return top(scored, "query", F.col("score"), "doc", k).withColumnRenamed("doc", key)
-
-
-def sparse_top(components: DataFrame, key: str, queries: DataFrame, query_key: str, k: int) -> DataFrame:
-    """(query, key, score, rank) by inner product of (key, pos, value) components with the queries' components."""
-    q = queries.select(F.col(query_key).alias("query"), "pos", F.col("value").alias("qv"))
-    scored = components.join(q, "pos").groupBy("query", key).agg(F.round(F.sum(F.col("value") * F.col("qv")), 6).alias("score"))
-    return top(scored.withColumnRenamed(key, "doc"), "query", F.col("score"), "doc", k).withColumnRenamed("doc", key)
+    asked = queries.select(F.col(query_key or key).alias("query"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL")
+    n, dim = asked.agg(F.count("*"), F.max(F.size("v"))).first()
+    of, kind = asked.schema["query"].dataType.simpleString(), vectors.schema[key].dataType.simpleString()
+    schema = f"query {of}, doc {kind}, score double"
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    query_type = to_arrow_type(asked.schema["query"].dataType)
+    rows = vectors.select(F.col(key).alias("doc"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL")
+
+    def scored(blocks: dict, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        length = pc.list_value_length(batch.column(1))
+        for size, (names, q) in blocks.items():
+            same = batch.filter(pc.equal(length, size))
+            step = max(1, min(4096, MOST_CELLS // max(len(names), size, 1)))
+            for lo in range(0, same.num_rows, step):
+                part = same.slice(lo, step)
+                part = part.take(pc.sort_indices(part.column(0)))
+                v = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(part), size)
+                found, at, value = _nearest(names, q, part.column(0), v, metric, k)
+                yield pa.RecordBatch.from_arrays([pa.array(found, query_type), part.column(0).take(pa.array(at)), pa.array(value)], ["query", "doc", "score"])
+
+    if n * (dim or 1) <= MOST_CELLS:
+        shared = vectors.sparkSession.sparkContext.broadcast(_matrices(asked.collect()))
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield from scored(shared.value, b)
+
+        near = rows.mapInArrow(run, schema)
+    else:
+        # packs of rows and blocks of queries, each one row, so that what meets are blocks and never single rows
+        pieces = -(-n * dim // MOST_CELLS)
+        blocks = asked.groupBy(F.pmod(F.xxhash64("query"), F.lit(pieces)).alias("b")).agg(F.collect_list(F.struct("query", "v")).alias("asked"))
+        packs = rows.withColumn("pack", F.struct(F.spark_partition_id(), F.floor(F.monotonically_increasing_id() % (1 << 33) / 4096)))
+        packs = packs.groupBy("pack").agg(F.collect_list(F.struct("doc", "v")).alias("rows"))
+
+        def run_packs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for i in range(b.num_rows):
+                    part = pa.RecordBatch.from_struct_array(b.column(0).slice(i, 1).flatten())
+                    yield from scored(_matrices([(r["query"], r["v"]) for r in b.column(1)[i].as_py()]), part)
+
+        near = packs.select("rows").join(blocks.select("asked"), F.lit(True)).mapInArrow(run_packs, schema)
+    return top(near, "query", F.col("score"), "doc", k).withColumnRenamed("doc", key)
 
 
 def rank_fusion(lists: list[DataFrame], key: str, k: int = 20, constant: int = 60) -> DataFrame:

@@ -47,7 +47,7 @@ def vectors(metric: str) -> str:
 
 def embedded(docs: str, key: str) -> str:
     return rf"""SELECT {key}, pos, v / sqrt(sum(v * v) OVER (PARTITION BY {key})) AS value FROM (
-      SELECT {key}, ('0x' || substr(h, 1, 8))::BIGINT % 64 AS pos, sum(CASE WHEN ('0x' || substr(h, 9, 2))::BIGINT % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END * (1 + ln(1 + len(tok)::DOUBLE))) AS v
+      SELECT {key}, ('0x' || substr(h, 1, 8))::BIGINT % 256 AS pos, sum(CASE WHEN ('0x' || substr(h, 9, 2))::BIGINT % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END * (1 + ln(1 + len(tok)::DOUBLE))) AS v
       FROM (SELECT {key}, tok, sha256(tok) AS h FROM (SELECT {key}, unnest(regexp_extract_all(lower(coalesce(body, '')), '[\p{{L}}\p{{N}}_]+')) AS tok FROM ({docs})))
       GROUP BY ALL)"""
 
@@ -70,7 +70,7 @@ FAQ = """faq AS (SELECT faq_id, source, title, coalesce(content, '') AS content
 LISTS = f"""{FAQ}, {bm25("SELECT faq_id, body FROM faqs", "faq_id", 20)},
   ed AS ({embedded("SELECT faq_id, body FROM faqs", "faq_id")}),
   eq AS ({embedded("SELECT id, query AS body FROM rag_eval_cases", "id")}),
-  es AS (SELECT eq.id AS query, faq_id, round(sum(ed.value * eq.value), 6) AS score FROM ed JOIN eq USING (pos) WHERE abs(ed.value) > 1e-12 AND abs(eq.value) > 1e-12 GROUP BY ALL),
+  es AS (SELECT id AS query, faq_id, round(coalesce(dot, 0), 6) AS score FROM rag_eval_cases CROSS JOIN faqs LEFT JOIN (SELECT eq.id, faq_id, sum(ed.value * eq.value) AS dot FROM ed JOIN eq USING (pos) GROUP BY ALL) USING (id, faq_id)),
   er AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, faq_id) AS rank FROM es QUALIFY rank <= 20)"""
 FUSED = f"""{LISTS},
   fu AS (SELECT query, faq_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT query, faq_id, rank FROM ranked UNION ALL SELECT query, faq_id, rank FROM er) GROUP BY ALL),
@@ -125,13 +125,19 @@ SQL: dict[str, str] = {
     "authority_status": f"SELECT doc_id, s AS source_status, CASE s WHEN 'authoritative' THEN 1.0::DOUBLE WHEN 'deprecated' THEN 0.35 WHEN 'misleading' THEN 0.1 WHEN 'unanswerable_trap' THEN 0.0 ELSE 0.8 END::DOUBLE AS weight, ({PENALTY})::DOUBLE AS penalty FROM (SELECT doc_id, {STATUS.format("coalesce(text, '')")} AS s FROM documents)",
     "graph_terms_idf": f"WITH {TERMS} SELECT term, df, round(idf, 6) AS idf, round(threshold, 6) AS threshold FROM kept",
     "graph_neighbors": f"WITH {NEAR}, sc AS (SELECT *, round(0.35 * 0.1 * least(1.0::DOUBLE, shared::DOUBLE / 3), 6) AS score, round(0.5 * least(1.0::DOUBLE, shared::DOUBLE / 3) + 0.5, 4) AS confidence FROM near) SELECT seed, doc_id, shared, score, confidence, row_number() OVER (PARTITION BY seed ORDER BY score DESC, shared DESC, doc_id) AS rank FROM sc QUALIFY rank <= 8",
-    "same_source_edges": "WITH o AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents WHERE source IS NOT NULL) SELECT a.doc_id AS \"from\", b.doc_id AS \"to\", round(greatest(0.2, 1 - 0.15 * (b.n - a.n - 1))::DOUBLE, 4) AS weight FROM o a JOIN o b ON a.source = b.source AND b.n - a.n BETWEEN 1 AND 5",
+    "same_source_edges": """WITH o AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents WHERE source IS NOT NULL),
+      e AS (SELECT a.doc_id AS "from", b.doc_id AS "to", a.source, round(1 - 0.15 * (b.n - a.n - 1), 4)::DOUBLE AS weight FROM o a JOIN o b ON a.source = b.source AND b.n > a.n WHERE 1 - 0.15 * (b.n - a.n - 1) > 0.2)
+      SELECT "from", "to", source, NULL::BIGINT AS place, weight FROM e UNION ALL SELECT doc_id, NULL, source, n, 0.2::DOUBLE FROM o""",
     "adjacent_edges": "SELECT \"from\", \"to\", 1.0::DOUBLE AS weight FROM (SELECT doc_id AS \"from\", lead(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS \"to\" FROM documents WHERE source IS NOT NULL) WHERE \"to\" IS NOT NULL",
     "shared_title_edges": "SELECT f AS \"from\", doc_id AS \"to\", 0.8::DOUBLE AS weight FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY title) AS f FROM documents WHERE len(title) > 0) WHERE doc_id > f",
     "adaptive_gate": "WITH" + bm25("SELECT doc_id, concat_ws(chr(10), title, text) AS body FROM documents", "doc_id", 5) + r""", co AS (SELECT query, max(n)::DOUBLE / sum(n) AS concentration FROM (SELECT query, source, count(*) AS n FROM ranked JOIN documents USING (doc_id) WHERE rank <= 4 GROUP BY ALL) GROUP BY ALL),
       w AS (SELECT id AS query, list_filter(regexp_split_to_array(trim(query), '\s+'), lambda x: len(x) > 0) AS w FROM rag_eval_cases),
       sp AS (SELECT query, len(list_filter(w, lambda x: len(x) >= 5 OR (len(x) >= 2 AND regexp_matches(x, '^\p{Lu}'))))::DOUBLE / len(w) AS specificity FROM w),
-      j AS (SELECT query, specificity, concentration, (specificity >= 0.3)::BIGINT + (concentration >= 0.5)::BIGINT + 1 AS favourable FROM sp JOIN co USING (query))
+      gm AS (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, trim(lower(unnest(regexp_extract_all(concat_ws(chr(10), title, text), '[A-Za-z][A-Za-z0-9_-]+|[一-鿿]+'))), '_-') AS term FROM documents)
+        WHERE len(term) >= 2 AND term NOT IN (""" + ", ".join(repr(w) for w in STOPWORDS) + r""")),
+      gd AS (SELECT term, count(*)::DOUBLE AS df FROM gm GROUP BY ALL), gn AS (SELECT max(df) AS n FROM gd),
+      inf AS (SELECT query, avg(ln(1 + (n - df + 0.5) / (df + 0.5)) / ln(n + 1)) AS informativeness FROM (SELECT DISTINCT query, term FROM ranked JOIN gm USING (doc_id) WHERE rank <= 3) JOIN gd USING (term), gn GROUP BY query),
+      j AS (SELECT query, specificity, concentration, (specificity >= 0.3)::BIGINT + (concentration >= 0.5)::BIGINT + (coalesce(informativeness, 0) >= 0.3)::BIGINT AS favourable FROM sp JOIN co USING (query) LEFT JOIN inf USING (query))
       SELECT query, round(specificity, 4) AS specificity, round(concentration, 4) AS concentration, favourable, favourable >= 2 AS should_expand, round(CASE WHEN favourable >= 2 THEN 0.5::DOUBLE + 0.25 * favourable ELSE 0.5 - 0.1 * (3 - favourable) END, 4)::DOUBLE AS confidence FROM j""",
     "post_signals": f"WITH {SIGNALS} SELECT id, sentiment_label, is_complaint, engagement_total, array_to_string(list_sort(list_filter([{', '.join(repr(w) for w in sorted({*NEGATIVE, *COMPLAINT}))}], lambda w: contains(signal, w))), '|') AS signals FROM sig",
     "sentiment_counts": f"WITH {SIGNALS} SELECT sentiment_label, count(*) AS posts FROM sig GROUP BY ALL",

@@ -113,9 +113,16 @@ def hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     faq, cases = _faq(spark, sf_dir), _cases(spark, sf_dir)
-    words = retrieval.bm25(faq, "faq_id", "whole", cases, "id", "query", 20)
-    like = retrieval.sparse_top(retrieval.hash_embedding(faq, "faq_id", "whole"), "faq_id", retrieval.hash_embedding(cases, "id", "query"), "id", 20)
-    return words, like
+    index = retrieval.text_index(faq, "faq_id", "whole")
+    return _search(index, cases)
+
+
+def _search(index: DataFrame, cases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The two lists of a set of queries over an index of FAQ records: by words and by hash embedding."""
+    words = retrieval.bm25_indexed(index.select(F.col("faq_id").alias("doc"), "t"), "faq_id", cases, "id", "query", 20)
+    asked = retrieval.embed(cases, "id", "query")
+    like = retrieval.vector_top(index.select("faq_id", "vector"), "faq_id", "vector", asked, "ip", 20, "id")
+    return cut(words), like
 
 
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,7 +201,7 @@ def same_source_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def adjacent_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.same_source_edges(_documents(spark, sf_dir), "doc_id", "source", 1)
+    return graph.same_source_edges(_documents(spark, sf_dir), "doc_id", "source", 1).select("from", "to", "weight")
 
 
 @query

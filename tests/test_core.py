@@ -238,7 +238,7 @@ def test_budget_fold(spark):
 
 def test_graph_edges(spark):
     d = spark.createDataFrame([(1, "s", "t"), (2, "s", "t"), (3, "o", None)], "id int, source string, title string")
-    assert [(x["from"], x["to"]) for x in graph.same_source_edges(d, "id", "source").collect()] == [(1, 2)]
+    assert [(x["from"], x["to"]) for x in graph.same_source_edges(d, "id", "source", 1).collect()] == [(1, 2)]
     assert [(x["from"], x["to"]) for x in graph.shared_value_edges(d, "id", "title", 0.8).collect()] == [(1, 2)]
 
 
@@ -247,11 +247,17 @@ def test_same_source_edges_of_all_pairs(spark):
     want = {}
     for members in ([i for i in range(40) if i % 3], [i for i in range(40) if not i % 3]):
         want |= {(x, y): round(max(0.2, 1 - 0.15 * (k - 1)), 4) for n, x in enumerate(members) for k, y in enumerate(members[n + 1 :], 1)}
-    for block in (7, 1_000):
-        got = graph.same_source_edges(d, "id", "source", block=block).collect()
-        assert len(got) == len(want) and {(r["from"], r["to"]): r.weight for r in got} == want
-    sources = [r.n for r in table(spark, DATA, "documents").where("source IS NOT NULL").groupBy("source").agg(F.count("*").alias("n")).collect()]
-    assert registry.queries()["same_source_edges"](spark, DATA).count() == sum(n * (n - 1) // 2 for n in sources)
+    got = graph.same_source_edges(d, "id", "source").collect()
+    pairs = {(r["from"], r["to"]): r.weight for r in got if r["to"] is not None}
+    assert len(pairs) == sum(r["to"] is not None for r in got) and all(w > 0.2 for w in pairs.values())
+    # the pairs that are no rows follow from membership, and both together are all pairs
+    members = collections.defaultdict(list)
+    for r in got:
+        if r["to"] is None:
+            members[r.source].append((r.place, r["from"], r.weight))
+    whole = {(x, y): pairs.get((x, y), w) for m in members.values() for n, (_, x, w) in enumerate(sorted(m)) for _, y, _ in sorted(m)[n + 1 :]}
+    assert whole == want and set(pairs) <= set(whole)
+    assert {(r["from"], r["to"]): r.weight for r in graph.same_source_edges(d, "id", "source", 2).collect()} == {k: w for k, w in want.items() if w >= 0.85}
 
 
 def test_gate_takes_the_terms_of_the_seeds(spark):
