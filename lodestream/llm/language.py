@@ -186,8 +186,16 @@ def labelled_sample(rows: DataFrame, label: str, text: str, key: str, per_langua
     d = rows.select(label_language(F.col(label)).alias("code"), F.col(text).alias("text"), F.xxhash64(key).alias("h"))
     d = d.where(F.col("code").isNotNull() & (F.length("text") > 0))
     counts = {r.code: r["count"] for r in d.groupBy("code").count().collect()}  # one row a language
-    d = d.withColumn("n", F.row_number().over(Window.partitionBy("code").orderBy("h"))).where(F.col("n") <= per_language)
-    return [(r.code, r.text, max(1.0, counts[r.code] / per_language)) for r in d.select("code", "text", "n").orderBy("code", "n").collect()]
+    first = d.withColumn("n", F.row_number().over(Window.partitionBy("code").orderBy("h"))).where(F.col("n") <= per_language)
+    # the hashes below which a language has a little more than its rows: what is shuffled does not grow with the tasks
+    bounds = [(c, int(-(2**63) + 2**64 * min(1.0, (per_language + 12 * per_language**0.5 + 50) / n)) - 1) for c, n in counts.items()]
+    few = [F.when(F.col("code") == c, F.col("h") <= F.lit(bound)) for c, bound in bounds]
+    low = d.where(F.coalesce(*few)) if few else d
+    chosen = low.withColumn("n", F.row_number().over(Window.partitionBy("code").orderBy("h"))).where(F.col("n") <= per_language)
+    got = chosen.select("code", "text", "n").orderBy("code", "n").collect()
+    if len(got) < sum(min(n, per_language) for n in counts.values()):  # keys so repeated that their hashes are no even spread
+        got = first.select("code", "text", "n").orderBy("code", "n").collect()
+    return [(r.code, r.text, max(1.0, counts[r.code] / per_language)) for r in got]
 
 
 def segment(text: str, classify: Classifier, least: int = 8, margin: float = 0.02, other_margin: float = 0.08) -> list[tuple[int, int, str | None, float]]:

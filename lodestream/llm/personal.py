@@ -31,7 +31,9 @@ _WIDE = {0xFF01 + i: 0x21 + i for i in range(94)} | {0x3000: 0x20, 0xA0: 0x20}
 _UNSEEN = re.compile(r"[\u00ad\u200b-\u200f\u2060\ufe0f\ufeff]")
 #: Sequences end here; a full stop in Latin text is no end, as in "St." or "No.".
 _END = re.compile(r"[\n\r]+|(?<=[。！？!?])\s*")
-_LONGEST = 240  # tokens of a sequence; longer ones are cut at a token
+#: Tokens of a window; longer sequences are read in windows that overlap, and a span is taken from the one window in whose
+#: core it begins, at least _MARGIN tokens from the window's ends.
+_LONGEST, _MARGIN = 240, 24
 
 # Words that stand in addresses, before numbers of a kind, or in titles, by language.
 _WORDS = {
@@ -323,21 +325,25 @@ class Recogniser:
             for stop in [m.end() for m in _END.finditer(text)] + [len(text)]:
                 if stop > at:
                     toks = tokenise(text[at:stop])
-                    for k in range(0, len(toks), _LONGEST):
-                        part = toks[k : k + _LONGEST]
+                    step = _LONGEST - 2 * _MARGIN
+                    starts = range(0, max(1, len(toks) - 2 * _MARGIN), step) if len(toks) > _LONGEST else (0,)
+                    for k in starts if toks else ():
+                        last = k == starts[-1]
+                        part = toks[k:] if last else toks[k : k + _LONGEST]
                         sequences.append([self.vocabulary(t) for _, _, t in part])
-                        places.append((i, [(s + at, e + at) for s, e, _ in part]))
+                        core = (_MARGIN if k else 0, len(part) if last else step + _MARGIN)
+                        places.append((i, [(s + at, e + at) for s, e, _ in part], core))
                     at = stop
         out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-        for (i, spots), path in zip(places, self.decode(sequences), strict=True):
+        for (i, spots, (lo, hi)), path in zip(places, self.decode(sequences), strict=True):
             current = None
-            for (s, e), label in zip(spots, path, strict=True):
+            for n, ((s, e), label) in enumerate(zip(spots, path, strict=True)):
                 name = LABELS[label]
                 if name[0] == "I" and current:
                     current[1] = e
                     continue
                 self._keep(out[i], texts[i], current)
-                current = [s, e, name[2:]] if name[0] == "B" else None
+                current = [s, e, name[2:]] if name[0] == "B" and lo <= n < hi else None
             self._keep(out[i], texts[i], current)
         return out
 
@@ -347,7 +353,7 @@ class Recogniser:
             lo, hi, kind = span
             while hi > lo and not (text[hi - 1].isalnum() or text[hi - 1] in ").]º"):
                 hi -= 1
-            if _plausible(text[lo:hi], kind):
+            if _plausible(text[lo:hi], kind) and not (out and lo < out[-1][1]):  # two windows may see one span differently
                 out.append((lo, hi, kind))
 
 

@@ -146,6 +146,25 @@ def test_personal_information(spark):
     assert personal.personal_information(d.limit(0), "id", ("content",), model).count() == 0
 
 
+def test_personal_spans_across_windows(spark):
+    """A long stretch without a sentence end: what lies across any place of it is found, once."""
+    find = personal.Recogniser(personal.recogniser_model())
+    filler = "the range display was checked and the dealer kept the car for some days, "
+    for words in range(0, 60, 7):
+        text = filler * 18 + "so " * words + "please write to ana.gomez@example.com today, " + filler * 30
+        spans = find([text])[0]
+        assert [text[a:b] for a, b, k in spans if k == "email"] == ["ana.gomez@example.com"]
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_sample_is_the_rows_of_lowest_hash(spark):
+    d = spark.range(3000).selectExpr("id", "if(id % 3 = 0, 'en', 'de') AS label", "concat('text ', id) AS text")
+    for n in (5, 400, 5000):
+        got = language.labelled_sample(d, "label", "text", "id", n)
+        want = d.selectExpr("label", "text", "row_number() OVER (PARTITION BY label ORDER BY xxhash64(id)) AS n").where(f"n <= {n}").orderBy("label", "n").collect()
+        assert [(c, t) for c, t, _ in got] == [(r.label, r.text) for r in want]
+
+
 def test_personal_batches_agree(spark):
     some = [t for t, _ in labelled.labelled_table(1, seed=5)][:120]
     r = personal.Recogniser(personal.recogniser_model())
