@@ -113,3 +113,48 @@ def expansion_gate(signals: DataFrame) -> DataFrame:
     d = signals.withColumn("favourable", n)
     go = F.col("favourable") >= 2
     return d.withColumns({"should_expand": go, "confidence": F.when(go, 0.5 + 0.25 * F.col("favourable")).otherwise(0.5 - 0.1 * (3 - F.col("favourable")))})
+
+
+def expand(seeds: DataFrame, docs: DataFrame, key: str, text: str, go: DataFrame | None = None, weight: float = 0.35, most: int = 4, least: float = 0.15, percentile: float = 50) -> DataFrame:
+    """(query, key, score, graph_score): each query's seeds merged with the documents that share informative terms with them.
+
+    seeds: (query, key, score); go: (query, should_expand), queries without true keep their seeds as they are. A neighbour
+    has weight * max(seed score, .1) * min(1, shared / 3), the largest over the seeds, where its confidence, half that
+    share and half the terms' informativeness (1 above the threshold), is at least ``least``; the ``most`` best enter, a
+    seed among them keeps the larger of its two scores. Shared terms are counted once per distinct seed document and
+    neighbour, not once per query.
+    """
+    terms = informative_terms(docs, key, text, percentile).select("term")
+    m = mentions(docs, key, text).join(terms, "term", "left_semi")
+    s = m.join(seeds.select(key).distinct(), key, "left_semi").select(F.col(key).alias("seed"), "term")
+    near = s.join(m, "term").where(F.col("seed") != F.col(key)).groupBy("seed", key).agg(F.count("*").alias("shared"))
+    asked = seeds.where(F.col("score") > 0).select("query", F.col(key).alias("seed"), F.col("score").alias("s"))
+    if go is not None:
+        asked = asked.join(go.where("should_expand").select("query"), "query", "left_semi")
+    share = F.least(F.lit(1.0), F.col("shared") / 3)
+    found = asked.join(near, "seed").where(F.round(0.5 * share + 0.5, 4) >= least)
+    found = found.select("query", key, F.round(weight * F.greatest(F.col("s"), F.lit(0.1)) * share, 6).alias("g"), "shared")
+    best = found.groupBy("query", key).agg(F.max(F.struct("g", "shared")).alias("b")).select("query", key, "b.*")
+    w = Window.partitionBy("query").orderBy(F.desc("g"), F.desc("shared"), F.col(key))
+    best = best.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).select("query", key, F.col("g").alias("graph_score"))
+    merged = seeds.select("query", key, "score").join(best, ["query", key], "full")
+    return merged.select("query", key, F.greatest("score", "graph_score").alias("score"), "graph_score")
+
+
+def expand_once(seeds: DataFrame, docs: DataFrame, key: str, text: str, weight: float = 0.35, least: float = 0.15, percentile: float = 50) -> DataFrame:
+    """(query, key, score): the store-backed variant: one score a neighbour over the union of terms shared with any seed, by
+    the best seed's score, seeds themselves left out, no limit."""
+    terms = informative_terms(docs, key, text, percentile).select("term")
+    m = mentions(docs, key, text).join(terms, "term", "left_semi")
+    asked = seeds.join(m, key).select("query", "term").distinct()
+    top = seeds.groupBy("query").agg(F.max("score").alias("s"))
+    near = asked.join(m, "term").groupBy("query", key).agg(F.count("*").alias("shared")).join(seeds.select("query", key), ["query", key], "left_anti")
+    share = F.least(F.lit(1.0), F.col("shared") / 3)
+    near = near.join(top, "query").where((F.round(0.5 * share + 0.5, 4) >= least) & (F.col("s") > 0))
+    return near.select("query", key, F.round(weight * F.greatest(F.col("s"), F.lit(0.1)) * share, 6).alias("score"))
+
+
+def neighbours_of(edges: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """(key, neighbour, weight) over undirected edges (from, to, weight) of the wanted keys, the largest weight a pair."""
+    both = edges.select(F.col("from").alias(key), F.col("to").alias("neighbour"), "weight").unionByName(edges.select(F.col("to").alias(key), F.col("from").alias("neighbour"), "weight"))
+    return both.where(F.col(key) != F.col("neighbour")).join(wanted.select(key).distinct(), key, "left_semi").groupBy(key, "neighbour").agg(F.max("weight").alias("weight"))

@@ -55,3 +55,24 @@ def turns(table: DataFrame) -> DataFrame:
     lines = F.posexplode(F.split("content", r"\n")).alias("turn", "line")
     d = table.select("memory_id", lines).where(F.col("line").rlike(r"^(user|assistant|system): "))
     return d.select("memory_id", F.col("turn").cast("bigint").alias("turn"), F.substring_index("line", ":", 1).alias("role"), F.trim(F.expr("substring(line, instr(line, ':') + 1)")).alias("said"))
+
+
+def scoped(table: DataFrame, user: str | None = None, conversation: str | None = None, kinds: tuple[str, ...] = (), status: str | None = None, limit: int | None = None) -> DataFrame:
+    """Records of a user, conversation, kinds or status, latest first, ties by id; filters reach the scan or the database."""
+    d = table
+    for column, value in (("user_id", user), ("conversation_id", conversation), ("index_status", status)):
+        d = d if value is None else d.where(F.col(column) == value)
+    d = d.where(F.col("record_type").isin(*kinds)) if kinds else d
+    d = d.orderBy(F.desc("updated_at"), F.desc("memory_id"))
+    return d.limit(limit) if limit else d
+
+
+def by_source(table: DataFrame, sources: DataFrame) -> DataFrame:
+    """Records that ``memory://conversation/id`` sources name, whatever comes before the last two parts."""
+    ids = sources.select(F.regexp_extract("source", r"^memory://(?:[^/]+/)?[^/]*/([^/]+)$", 1).alias("memory_id")).where("memory_id <> ''").distinct()
+    return table.join(ids, "memory_id", "left_semi")
+
+
+def kinds_of(kinds: Column) -> Column:
+    """Record types as asked for: trimmed, lower case, distinct in order of first appearance, empty ones out."""
+    return F.array_distinct(F.filter(F.transform(kinds, lambda k: F.lower(F.btrim(k))), lambda k: F.length(k) > 0))

@@ -309,3 +309,16 @@ def cited_context(hits: DataFrame, key: str) -> DataFrame:
         F.lit("\nCHUNK ID: "), F.col(key).cast("string"), F.lit("\nEXCERPT:\n"), X.excerpt(F.col("content")), F.lit("\n"),
     )
     return hits.groupBy("query").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", block.alias("b")))), lambda x: x.b), "\n").alias("context"))
+
+
+def metadata_line(heading_path: Column, page_number: Column, field_paths: Column, **named: Column) -> Column:
+    """``k=v; `` parts that are there, in a fixed order: headings, page, the first eight field paths, then the named ones."""
+    part = lambda n, c: F.when(F.length(c) > 0, F.concat(F.lit(f"{n}="), c))
+    head = part("heading", F.array_join(heading_path, " > "))
+    fields = part("fields", F.array_join(F.slice(field_paths, 1, 8), ", "))
+    return F.concat_ws("; ", head, part("page", page_number.cast("string")), fields, *(part(n, c.cast("string")) for n, c in named.items()))
+
+
+def at_positions(hits: DataFrame, docs: DataFrame, position: str = "position") -> DataFrame:
+    """Hits of an index that knows rows by their ordinal, joined to the rows."""
+    return hits.join(docs, position)

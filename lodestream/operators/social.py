@@ -21,9 +21,13 @@ def any_of(text: Column, words: tuple[str, ...]) -> Column:
     return text.rlike("|".join(w.replace("-", r"\-") for w in words))
 
 
-def latest_posts(posts: DataFrame) -> DataFrame:
-    """One row a post: the latest ingested one."""
-    rest = [c for c in posts.columns if c not in ("id", "ingested_at")]
+#: What the signals of a post are worked out from.
+SIGNAL_COLUMNS = ("platform", "type", "title", "content", "sentiment", "engagement", "tags", "metadata")
+
+
+def latest_posts(posts: DataFrame, columns: tuple[str, ...] | None = None) -> DataFrame:
+    """One row a post: the latest ingested one. With ``columns`` only these (and id, ingested_at) are read and shuffled."""
+    rest = [c for c in posts.columns if c not in ("id", "ingested_at") and (columns is None or c in columns)]
     newest = F.struct(F.col("ingested_at"), F.coalesce(F.col("engagement.views"), F.lit(-1)), F.coalesce(F.col("engagement.likes"), F.lit(-1)))
     last = F.max_by(F.struct("ingested_at", *rest), newest).alias("m")
     return posts.groupBy("id").agg(last).select("id", "m.*")
@@ -80,6 +84,24 @@ def search(posts: DataFrame, query: str, aliases: dict[str, list[str]] | None =
     return d.drop("__hay")
 
 
+def iso_day(published_at: Column) -> Column:
+    """The date of a text that begins with one, year first; null else."""
+    return F.try_to_date(F.regexp_extract(published_at, r"^\s*(\d{4}-\d{2}-\d{2})", 1), "yyyy-MM-dd")
+
+
+def between(posts: DataFrame, day: str, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Posts from start to end, both included; a post without a date passes."""
+    d = posts
+    if start:
+        d = d.where(F.col(day).isNull() | (F.col(day) >= F.lit(start).cast("date")))
+    return d.where(F.col(day).isNull() | (F.col(day) <= F.lit(end).cast("date"))) if end else d
+
+
+def latest_first(day: str, key: str) -> list[Column]:
+    """Order of results: latest first, undated last, then by key."""
+    return [F.desc_nulls_last(day), F.col(key).asc()]
+
+
 def query_variants(query: str, n: int = 4) -> list[str]:
     base = query.strip()
     extra = [f"{base} {w}" for w in NEGATIVE_QUERIES if w not in base.lower()]
@@ -130,3 +152,68 @@ def thread(posts: DataFrame, ids: DataFrame) -> DataFrame:
 def page(df: DataFrame, order: list[Column], cursor: int, limit: int) -> DataFrame:
     """Rows ``cursor`` to ``cursor + limit`` of a total order."""
     return df.orderBy(*order).offset(cursor).limit(max(1, min(limit, 200)))
+
+
+def risk_reasons(risks: DataFrame) -> Column:
+    """The reasons behind a row of ``risk``, those that apply, in a fixed order."""
+    some = (F.col("negative") > 0) | (F.col("complaints") > 0) | (F.col("negative_engagement") > 0)
+    facts = (("negative_ratio", "negative_ratio"), ("total_engagement", "total_engagement"), ("complaint_count", "complaints"), ("negative_engagement", "negative_engagement"))
+    said = [F.when(F.col(c) != 0, F.concat(F.lit(f"{n}="), F.col(c).cast("string"))) for n, c in facts]
+    said.append(F.when((F.col("total_engagement") != 0) & ~some, F.lit("high_heat_without_negative_signal")))
+    return F.array_compact(F.array(*said))
+
+
+def report(signals: DataFrame, day: str, most_keywords: int = 20, most_posts: int = 5) -> DataFrame:
+    """(section, name, position, value) of a set of posts with signals: counts by sentiment, platform and day, totals and
+    risk, the commonest keywords and the posts of most engagement.
+
+    The counts and totals come from one pass over grouping sets; keywords and posts are limited because they are top lists.
+    """
+    s = signals.withColumns({"__all": F.lit("all"), "platform": F.coalesce("platform", F.lit("unknown")), "__day": F.col(day).cast("string")})
+    sets = s.groupingSets([["sentiment_label"], ["platform"], ["__day"]], "sentiment_label", "platform", "__day").agg(F.count("*").alias("n"), F.grouping_id().alias("g"))
+    section = F.when(F.col("g") == 3, "sentiment").when(F.col("g") == 5, "platform").otherwise("day")
+    name = F.coalesce("sentiment_label", "platform", "__day")
+    none = F.lit(None).cast("bigint")
+    counts = sets.where(name.isNotNull()).select(section.alias("section"), name.alias("name"), none.alias("position"), F.col("n").cast("double").alias("value"))
+    r = risk(s, "__all")
+    names = ("posts", "negative", "negative_ratio", "complaints", "total_engagement", "negative_engagement", "score")
+    totals = r.select(F.explode(F.array(*(F.struct(F.lit("total").alias("section"), F.lit(n).alias("name"), none.alias("position"), F.col(n).cast("double").alias("value")) for n in names))).alias("x")).select("x.*")
+    levels = r.select(F.explode(F.array(*(F.struct(F.lit(n).alias("section"), F.col(n).alias("name"), none.alias("position"), F.lit(None).cast("double").alias("value")) for n in ("level", "heat_level")))).alias("x")).select("x.*")
+    words = _listed(keywords(s, most_keywords), "keyword", "keyword", F.col("posts"))
+    posts = _listed(s.select("id", "engagement_total"), "post", "id", F.col("engagement_total"), most_posts)
+    return counts.unionByName(totals).unionByName(levels).unionByName(words).unionByName(posts)
+
+
+def _listed(rows: DataFrame, section: str, name: str, value: Column, most: int | None = None) -> DataFrame:
+    """Rows as a numbered list, largest value first, ties by name; the limit goes before the numbering."""
+    d = rows.select(F.col(name).alias("name"), value.cast("double").alias("value"))
+    d = d.orderBy(F.desc("value"), "name").limit(most) if most else d
+    struct = F.array_sort(F.collect_list(F.struct((-F.col("value")).alias("v"), "name")))
+    d = d.agg(struct.alias("l")).select(F.posexplode("l").alias("position", "x"))
+    return d.select(F.lit(section).alias("section"), "x.name", (F.col("position") + 1).cast("bigint").alias("position"), (-F.col("x.v")).alias("value"))
+
+
+def snapshot(signals: DataFrame, day: str, most_complaints: int = 5) -> DataFrame:
+    """``report`` with the keywords of negative or complaining posts and the latest such posts."""
+    bad = signals.where((F.col("sentiment_label") == "negative") | F.col("is_complaint"))
+    words = _listed(keywords(bad, 20), "negative_keyword", "keyword", F.col("posts"))
+    latest = bad.select("id", F.unix_date(F.col(day)).alias("d")).orderBy(F.desc_nulls_last("d"), "id").limit(most_complaints)
+    latest = latest.agg(F.array_sort(F.collect_list(F.struct((-F.coalesce("d", F.lit(-1000000))).alias("v"), "id"))).alias("l")).select(F.posexplode("l").alias("position", "x"))
+    posts = latest.select(F.lit("complaint").alias("section"), F.col("x.id").alias("name"), (F.col("position") + 1).cast("bigint").alias("position"), F.lit(None).cast("double").alias("value"))
+    return report(signals, day).unionByName(words).unionByName(posts)
+
+
+def author_platforms(signals: DataFrame) -> DataFrame:
+    """(author_id, platform, sentiment_label, posts): the parts of an author's profile."""
+    return signals.where("author_id IS NOT NULL").groupBy("author_id", F.coalesce("platform", F.lit("unknown")).alias("platform"), "sentiment_label").agg(F.count("*").alias("posts"))
+
+
+def next_cursor(total: Column, cursor: Column, limit: int) -> tuple[Column, Column]:
+    """(offset, next): the offset a cursor text means, 0 where it is no number, and the next cursor or null at the end.
+
+    The limit is held to 1 to 200; 0 means 20.
+    """
+    many = max(1, min(limit or 20, 200))
+    at = F.when(cursor.rlike(r"^\d+$"), cursor.try_cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    after = F.least(at + many, total)
+    return at, F.when(after < total, after.cast("string"))

@@ -105,7 +105,101 @@ RUN = f"""r AS ({vectors("cosine").format(k=10)}),
   cm AS (SELECT n.query, CASE WHEN count(DISTINCT item) FILTER (ok) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS hit, round(count(DISTINCT item) FILTER (ok)::DOUBLE / wanted, 6) AS recall,
       round(coalesce(count(*) FILTER (ok)::DOUBLE / nullif(count(item), 0), 0), 6) AS precision, round(coalesce(1.0::DOUBLE / min(rank) FILTER (ok), 0), 6) AS mrr FROM n LEFT JOIN g USING (query) GROUP BY n.query, wanted)"""
 
+MATCHING = f"""{SIGNALS},
+  ma AS (SELECT *, try_cast(nullif(regexp_extract(published_at, '^\\s*(\\d{{4}}-\\d{{2}}-\\d{{2}})', 1), '') AS DATE) AS day FROM sig WHERE contains({HAY}, 'battery')),
+  mt AS (SELECT * FROM ma WHERE day IS NULL OR day BETWEEN DATE '2025-10-01' AND DATE '2026-06-30')"""
+_WORDS = "SELECT trim(unnest(list_concat(coalesce(tags, []), coalesce(metadata.keywords, [])))) AS name FROM mt WHERE {0}"
+_RANKED = "SELECT '{0}' AS section, name, row_number() OVER (ORDER BY value DESC, name) AS position, value FROM ({1}) QUALIFY position <= {2}"
+_TOP_WORDS = "SELECT name, count(*)::DOUBLE AS value FROM ({0}) WHERE len(name) > 0 GROUP BY ALL"
+REPORT = f"""{MATCHING},
+  mg AS (SELECT count(*) AS posts, count(*) FILTER (sentiment_label = 'negative') AS negative, count(*) FILTER (is_complaint) AS complaints, sum(engagement_total)::BIGINT AS total_engagement,
+    coalesce(sum(engagement_total) FILTER (sentiment_label = 'negative'), 0)::BIGINT AS negative_engagement FROM mt),
+  mr AS (SELECT *, round(negative::DOUBLE / posts, 4) AS negative_ratio FROM mg),
+  ms AS (SELECT *, least(100, round_even(negative_ratio * 55 + least(complaints * 8, 25) + least(negative_engagement::DOUBLE / 1000, 15) + CASE WHEN negative_ratio > 0 OR complaints > 0 OR negative_engagement > 0 THEN least(total_engagement::DOUBLE / 2000, 10) ELSE least(total_engagement::DOUBLE / 5000, 5) END, 0))::BIGINT AS score FROM mr WHERE posts > 0),
+  rp AS (SELECT 'sentiment' AS section, sentiment_label AS name, NULL::BIGINT AS position, count(*)::DOUBLE AS value FROM mt GROUP BY ALL
+    UNION ALL SELECT 'platform', coalesce(platform, 'unknown'), NULL, count(*) FROM mt GROUP BY ALL
+    UNION ALL SELECT 'day', day::VARCHAR, NULL, count(*) FROM mt WHERE day IS NOT NULL GROUP BY ALL
+    UNION ALL SELECT 'total', name, NULL, value FROM (SELECT unnest(['posts', 'negative', 'negative_ratio', 'complaints', 'total_engagement', 'negative_engagement', 'score']) AS name, unnest([posts::DOUBLE, negative, negative_ratio, complaints, total_engagement, negative_engagement, score]) AS value FROM ms)
+    UNION ALL SELECT 'level', CASE WHEN negative_ratio >= 0.6 OR complaints >= 10 OR negative_engagement >= 10000 THEN 'critical' WHEN negative_ratio >= 0.45 OR complaints >= 3 OR negative_engagement >= 3000 THEN 'high' WHEN negative_ratio >= 0.25 OR complaints >= 1 OR negative_engagement >= 800 THEN 'medium' ELSE 'low' END, NULL, NULL FROM ms
+    UNION ALL SELECT 'heat_level', CASE WHEN total_engagement >= 100000 THEN 'critical' WHEN total_engagement >= 30000 THEN 'high' WHEN total_engagement >= 3000 THEN 'medium' ELSE 'low' END, NULL, NULL FROM ms
+    UNION ALL {_RANKED.format("keyword", _TOP_WORDS.format(_WORDS.format("true")), 20)}
+    UNION ALL {_RANKED.format("post", "SELECT id AS name, engagement_total::DOUBLE AS value FROM mt", 5)})"""
+
+
+def graph_of(docs: str, key: str, p: str) -> str:
+    """Terms of (key, body) rows: {p}m all, {p}k informative ones."""
+    return rf"""{p}m AS (SELECT DISTINCT {key}, term FROM (SELECT {key}, trim(lower(unnest(regexp_extract_all(coalesce(body, ''), '[A-Za-z][A-Za-z0-9_-]+|[一-鿿]+'))), '_-') AS term FROM ({docs}))
+      WHERE len(term) >= 2 AND term NOT IN ({", ".join(repr(w) for w in STOPWORDS)})),
+  {p}d AS (SELECT term, count(*) AS df FROM {p}m GROUP BY ALL),
+  {p}i AS (SELECT term, ln(1 + ((SELECT count(*) FROM ({docs}))::DOUBLE - df + 0.5) / (df + 0.5)) AS idf FROM {p}d),
+  {p}t AS (SELECT idf AS threshold FROM (SELECT idf, row_number() OVER (ORDER BY idf) AS r, count(*) OVER () AS n FROM {p}i) WHERE r = least(floor(n * 50 / 100)::BIGINT, n - 1) + 1),
+  {p}k AS (SELECT {key}, term FROM {p}m JOIN {p}i USING (term), {p}t WHERE idf >= threshold)"""
+
+
+EXPANDED = rf"""{FUSED}, {graph_of("SELECT faq_id, body FROM faqs", "faq_id", "g")},
+  gco AS (SELECT query, max(n)::DOUBLE / sum(n) AS concentration FROM (SELECT query, source, count(*) AS n FROM fused JOIN faqs USING (faq_id) WHERE rank <= 4 GROUP BY ALL) GROUP BY ALL),
+  gn AS (SELECT max(df)::DOUBLE AS n FROM gd),
+  gin AS (SELECT query, avg(ln(1 + (n - df + 0.5) / (df + 0.5)) / ln(n + 1)) AS informativeness FROM (SELECT DISTINCT query, term FROM fused JOIN gm USING (faq_id) WHERE rank <= 3) JOIN gd USING (term), gn GROUP BY query),
+  gw AS (SELECT id AS query, list_filter(regexp_split_to_array(trim(query), '\s+'), lambda x: len(x) > 0) AS w FROM rag_eval_cases),
+  gs AS (SELECT query, len(list_filter(w, lambda x: len(x) >= 5 OR (len(x) >= 2 AND regexp_matches(x, '^\p{{Lu}}'))))::DOUBLE / len(w) AS specificity FROM gw),
+  go AS (SELECT query FROM gs JOIN gco USING (query) LEFT JOIN gin USING (query) WHERE (specificity >= 0.3)::INT + (concentration >= 0.5)::INT + (coalesce(informativeness, 0) >= 0.3)::INT >= 2),
+  gp AS (SELECT a.faq_id AS seed, b.faq_id, count(*) AS shared FROM gk a JOIN gk b USING (term) WHERE a.faq_id <> b.faq_id GROUP BY ALL),
+  gc AS (SELECT query, gp.faq_id, round(0.35 * greatest(score, 0.1) * least(1.0::DOUBLE, shared::DOUBLE / 3), 6) AS g, shared FROM fused JOIN go USING (query) JOIN gp ON gp.seed = fused.faq_id WHERE score > 0 AND round(0.5 * least(1.0::DOUBLE, shared::DOUBLE / 3) + 0.5, 4) >= 0.15),
+  gb AS (SELECT query, faq_id, g, shared FROM gc QUALIFY row_number() OVER (PARTITION BY query, faq_id ORDER BY g DESC, shared DESC) = 1),
+  gbest AS (SELECT query, faq_id, g AS graph_score FROM gb QUALIFY row_number() OVER (PARTITION BY query ORDER BY g DESC, shared DESC, faq_id) <= 4),
+  ge AS (SELECT query, faq_id, greatest(f.score, gbest.graph_score) AS score, gbest.graph_score FROM fused f FULL JOIN gbest USING (query, faq_id))"""
+
 SQL: dict[str, str] = {
+    "public_report": f"WITH {REPORT} SELECT * FROM rp",
+    "opinion_snapshot": f"""WITH {REPORT} SELECT * FROM rp UNION ALL {_RANKED.format("negative_keyword", _TOP_WORDS.format(_WORDS.format("sentiment_label = 'negative' OR is_complaint")), 20)}
+      UNION ALL SELECT 'complaint', id, row_number() OVER (ORDER BY day DESC NULLS LAST, id) AS position, NULL FROM mt WHERE sentiment_label = 'negative' OR is_complaint QUALIFY position <= 5""",
+    "posts_between": f"WITH {MATCHING} SELECT id, day::VARCHAR AS day FROM mt ORDER BY mt.day DESC NULLS LAST, id LIMIT 20 OFFSET 10",
+    "result_cursors": f"""WITH {POSTS}, c AS (SELECT *, CASE WHEN regexp_full_match(cursor, '\\d+') THEN cursor::BIGINT ELSE 0 END AS o FROM (SELECT platform, count(*) AS total, unnest(['0', '40', 'x1', '', '9000000']) AS cursor FROM posts WHERE platform IS NOT NULL GROUP BY platform))
+      SELECT platform, cursor, o AS "at", CASE WHEN least(o + 40, total) < total THEN least(o + 40, total)::VARCHAR END AS next FROM c""",
+    "author_platforms": f"WITH {SIGNALS} SELECT author_id, coalesce(platform, 'unknown') AS platform, sentiment_label, count(*) AS posts FROM sig WHERE author_id IS NOT NULL GROUP BY ALL",
+    "author_first_posts": f"WITH {POSTS} SELECT author_id, id, row_number() OVER (PARTITION BY author_id ORDER BY id) AS rank FROM posts WHERE author_id IS NOT NULL QUALIFY rank <= 5",
+    "risk_reasons": f"""WITH {SIGNALS}, g AS (SELECT coalesce(platform, 'unknown') AS platform, round(count(*) FILTER (sentiment_label = 'negative')::DOUBLE / count(*), 4) AS r, count(*) FILTER (is_complaint) AS c, sum(engagement_total)::BIGINT AS e, coalesce(sum(engagement_total) FILTER (sentiment_label = 'negative'), 0)::BIGINT AS ne FROM sig GROUP BY ALL)
+      SELECT platform, concat_ws('; ', CASE WHEN r <> 0 THEN 'negative_ratio=' || r END, CASE WHEN e <> 0 THEN 'total_engagement=' || e END, CASE WHEN c <> 0 THEN 'complaint_count=' || c END, CASE WHEN ne <> 0 THEN 'negative_engagement=' || ne END, CASE WHEN e <> 0 AND r = 0 AND c = 0 AND ne = 0 THEN 'high_heat_without_negative_signal' END) AS reasons FROM g""",
+    "graph_expand": f"WITH {EXPANDED} SELECT query, faq_id, score, graph_score FROM ge",
+    "graph_expand_once": f"""WITH {FUSED}, {graph_of("SELECT faq_id, body FROM faqs", "faq_id", "g")}, a AS (SELECT DISTINCT query, term FROM fused JOIN gk USING (faq_id)), ts AS (SELECT query, max(score) AS s FROM fused GROUP BY ALL),
+      nn AS (SELECT query, faq_id, count(*) AS shared FROM a JOIN gk USING (term) GROUP BY ALL)
+      SELECT query, faq_id, round(0.35 * greatest(s, 0.1) * least(1.0::DOUBLE, shared::DOUBLE / 3), 6) AS score FROM nn JOIN ts USING (query) ANTI JOIN fused USING (query, faq_id) WHERE round(0.5 * least(1.0::DOUBLE, shared::DOUBLE / 3) + 0.5, 4) >= 0.15 AND s > 0""",
+    "hybrid_graph_topk": f"""WITH {EXPANDED},
+      hit AS (SELECT g.query, g.faq_id, g.score AS rrf, r.score AS keyword_score, faqs.source, faqs.title, faqs.content, faqs.context, c.query AS query_text FROM ge g LEFT JOIN ranked r USING (query, faq_id) JOIN faqs USING (faq_id) JOIN rag_eval_cases c ON c.id = g.query),
+      st AS (SELECT *, round(rrf + 0.15 * {shared("query_text", "context")}, 6) AS boosted, round({shared("query_text", "concat_ws(chr(10), context, content)")}, 6) AS rr, {STATUS.format("content")} AS s FROM hit),
+      fin AS (SELECT *, round(rr + {PENALTY}, 6) AS score FROM st)
+      SELECT query, faq_id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, faq_id) AS rank FROM fin WHERE s NOT IN ('misleading', 'unanswerable_trap') AND (rr > 0 OR score > 0.10 OR coalesce(keyword_score, 0) > 0) QUALIFY rank <= 5""",
+    "graph_effect": f"""WITH {LISTS}, want AS (SELECT DISTINCT query, faq_id FROM (SELECT id AS query, unnest(list_distinct({tok("query")})) AS term FROM rag_eval_cases) JOIN (SELECT faq_id, unnest(list_distinct({tok("context")})) AS term FROM faqs) USING (term) WHERE len(term) > 6),
+      new AS (SELECT query, max(CASE WHEN w.faq_id IS NOT NULL THEN 1 ELSE 0 END) AS good FROM er ANTI JOIN ranked USING (query, faq_id) LEFT JOIN want w USING (query, faq_id) GROUP BY query),
+      j AS (SELECT q.query, r0, r1, good FROM (SELECT DISTINCT query FROM want) q LEFT JOIN (SELECT query, min(rank) AS r0 FROM ranked JOIN want USING (query, faq_id) GROUP BY ALL) USING (query) LEFT JOIN (SELECT query, min(rank) AS r1 FROM er JOIN want USING (query, faq_id) GROUP BY ALL) USING (query) LEFT JOIN new USING (query)),
+      b AS (SELECT avg((coalesce(good, 0) = 1 AND r0 IS NULL)::INT::DOUBLE) AS b, avg((coalesce(good, 1) = 0)::INT::DOUBLE) AS n, avg((r0 - r1)::DOUBLE) AS c FROM j)
+      SELECT round(b, 6) AS benefit, round(n, 6) AS noise, round(b - n, 6) AS net, round(c, 6) AS rank_change FROM b""",
+    "source_neighbours": """WITH o AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents WHERE source IS NOT NULL),
+      e AS (SELECT a.doc_id AS x, b.doc_id AS y, round(1 - 0.15 * (b.n - a.n - 1), 4)::DOUBLE AS weight FROM o a JOIN o b ON a.source = b.source AND b.n - a.n BETWEEN 1 AND 2
+        UNION ALL SELECT f, doc_id, 0.8 FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY title) AS f FROM documents WHERE len(title) > 0) WHERE doc_id > f)
+      SELECT x AS doc_id, y AS neighbour, max(weight) AS weight FROM (SELECT x, y, weight FROM e UNION ALL SELECT y, x, weight FROM e) WHERE x % 100 = 0 AND x <> y GROUP BY ALL""",
+    "evidence_metrics": f"""WITH {FAQ}, {bm25("SELECT faq_id, body FROM faqs", "faq_id", 5)},
+      c AS (SELECT id AS query, list_concat(expected_sources, ['kb/faq', 'kb/playbooks', 'pr/handbook']) AS sources, list_distinct(list_filter(list_transform(coalesce(expected_keywords, []), lambda w: lower(trim(w))), lambda w: len(w) > 0)) AS words FROM rag_eval_cases),
+      h AS (SELECT query, list_contains(sources, source) AS right_source, lower(substr(trim(regexp_replace(content, '\\s+', ' ', 'g')), 1, 300)) AS t, words, {STATUS.format("content")} AS s FROM ranked JOIN faqs USING (faq_id) JOIN c USING (query)),
+      g AS (SELECT query, count(*) AS n, count(*) FILTER (right_source AND (len(words) = 0 OR len(list_filter(words, lambda w: contains(t, w))) > 0)) AS e, flatten(list(CASE WHEN right_source THEN list_filter(words, lambda w: contains(t, w)) ELSE [] END)) AS f,
+        count(*) FILTER (s IN ('deprecated', 'misleading', 'unanswerable_trap')) AS m, count(*) FILTER (s = 'authoritative') AS a FROM h GROUP BY query)
+      SELECT c.query, CASE WHEN coalesce(e, 0) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS evidence_hit, round(CASE WHEN len(words) > 0 THEN coalesce(len(list_distinct(f)), 0)::DOUBLE / len(words) WHEN e > 0 THEN 1 ELSE 0 END, 6) AS evidence_recall, round(coalesce(e, 0)::DOUBLE / greatest(1, coalesce(n, 0)), 6) AS evidence_precision,
+        round(coalesce(m, 0)::DOUBLE / greatest(1, coalesce(n, 0)), 6) AS misleading_rate, round(coalesce(a, 0)::DOUBLE / greatest(1, coalesce(n, 0)), 6) AS authoritative_rate FROM c LEFT JOIN g USING (query) WHERE len(sources) > 0""",
+    "metadata_lines": "SELECT DISTINCT doc_key, concat_ws('; ', CASE WHEN len(title) > 0 THEN 'heading=' || title END, 'page=' || metadata.page_number, CASE WHEN len(metadata.json_text_fields) > 0 THEN 'fields=' || array_to_string(metadata.json_text_fields[1:8], ', ') END, CASE WHEN len(metadata.file_type) > 0 THEN 'file_type=' || metadata.file_type END, CASE WHEN len(metadata.team) > 0 THEN 'team=' || metadata.team END) AS line FROM rag_document",
+    "memory_scan": "SELECT memory_id, updated_at FROM (SELECT DISTINCT memory_id, updated_at, index_status, record_type FROM memories) WHERE record_type IN ('chat_raw', 'summary') AND index_status = 'pending' ORDER BY updated_at DESC, memory_id DESC LIMIT 20",
+    "memory_by_source": "SELECT DISTINCT memory_id, record_type FROM memories WHERE memory_id IN (SELECT memory_id FROM memories WHERE record_type = 'decision')",
+    "transcripts": r"""WITH l AS (SELECT memory_id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS n FROM (SELECT DISTINCT memory_id, content FROM memories)),
+      t AS (SELECT memory_id, n, CASE split_part(line, ':', 1) WHEN 'user' THEN 'user_input' WHEN 'assistant' THEN 'assistant_output' ELSE 'system' END AS tag, trim(substr(line, strpos(line, ':') + 1)) AS said FROM l WHERE regexp_matches(line, '^(user|assistant|system): '))
+      SELECT memory_id, string_agg('<' || tag || '>' || said || '</' || tag || '>', chr(10) ORDER BY n) AS text FROM t GROUP BY memory_id""",
+    "budget_calls": f"""WITH {USAGE}, a AS (SELECT *, event_type <> 'click' OR row_number() OVER (PARTITION BY user_id, event_type = 'click' ORDER BY event_id) <= 10 AS can FROM u),
+      b AS (SELECT *, can AND row_number() OVER (PARTITION BY user_id, can ORDER BY event_id) <= 40 AS ok FROM a)
+      SELECT user_id, count(*) FILTER (ok) AS admitted, count(*) FILTER (NOT ok) AS skipped, max(event_id) FILTER (ok) AS last_call FROM b GROUP BY user_id""",
+    "budget_warnings": f"""WITH {USAGE}, m AS (SELECT user_id, sum(model_calls)::BIGINT AS a, sum(tool_calls)::BIGINT AS b FROM u GROUP BY user_id)
+      SELECT user_id, concat_ws('; ', CASE WHEN a >= 70 THEN 'model_calls: limit ' || a || '/70' WHEN a >= 56 THEN 'model_calls: near ' || a || '/70' END, CASE WHEN b >= 20 THEN 'tool_calls: limit ' || b || '/20' WHEN b >= 16 THEN 'tool_calls: near ' || b || '/20' END) AS warnings FROM m""",
+    "role_evidence": """WITH d AS (SELECT * FROM documents WHERE source IS NOT NULL AND doc_type IS NOT NULL), r AS (SELECT source, doc_type, doc_id, title FROM d WHERE title IS NOT NULL AND doc_id % 7 = 0),
+      w AS (SELECT source, string_agg(title, chr(10) || chr(10) ORDER BY doc_id) AS w FROM r GROUP BY source), n AS (SELECT source, string_agg(title, chr(10) || chr(10) ORDER BY doc_id) AS n FROM r WHERE doc_type IN ('news', 'blog') GROUP BY source)
+      SELECT source, section, coalesce(CASE WHEN section = 'news' THEN n END, w, '') AS evidence FROM (SELECT DISTINCT source FROM d) CROSS JOIN (SELECT unnest(['news', 'rest']) AS section) LEFT JOIN w USING (source) LEFT JOIN n USING (source)""",
+    "tools_by_domain": "SELECT platform AS domain, count(DISTINCT type) AS tools, string_agg(DISTINCT type, ', ' ORDER BY type) AS names FROM bulk_mock_posts WHERE platform IS NOT NULL AND type IS NOT NULL GROUP BY platform",
     "p4_found": """WITH RECURSIVE links AS (SELECT DISTINCT id, CASE WHEN trim(parent_id) <> '' THEN parent_id END AS parent FROM bulk_mock_posts),
       up AS (SELECT a.id, b.id AS parent FROM links a JOIN (SELECT DISTINCT id FROM bulk_mock_posts) b ON b.id = a.parent),
       most AS (SELECT count(*) AS deep FROM links),

@@ -136,10 +136,10 @@ def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fused(spark, sf_dir).select("query", "faq_id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
-def _boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _boosted(spark: SparkSession, sf_dir: str, hits: DataFrame | None = None) -> DataFrame:
     faq = cut(retrieval.with_tokens(_faq(spark, sf_dir).drop("whole")))
     asked = _cases(spark, sf_dir).select(F.col("id").alias("query"), F.array_distinct(X.tokens(F.col("query"))).alias("query_tokens"))
-    hits = _fused(spark, sf_dir).join(faq, "faq_id").join(asked, "query")
+    hits = (_fused(spark, sf_dir) if hits is None else hits).join(faq, "faq_id").join(asked, "query")
     return retrieval.boost_by_metadata(hits)
 
 
@@ -148,8 +148,8 @@ def metadata_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _boosted(spark, sf_dir).select("query", "faq_id", "structured_score", "score")
 
 
-def _final(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = retrieval.rerank_by_overlap(_boosted(spark, sf_dir))
+def _final(spark: SparkSession, sf_dir: str, hits: DataFrame | None = None) -> DataFrame:
+    h = retrieval.rerank_by_overlap(_boosted(spark, sf_dir, hits))
     h = h.withColumn("source_status", retrieval.source_status(F.col("source"), F.col("title"), F.col("content")))
     return retrieval.relevant(retrieval.adjust_by_authority(h))
 
@@ -221,16 +221,79 @@ def adaptive_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("query", F.round("specificity", 4).alias("specificity"), F.round("concentration", 4).alias("concentration"), F.col("favourable").cast("bigint").alias("favourable"), "should_expand", F.round("confidence", 4).alias("confidence"))
 
 
+def _expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fused hits of each query with their neighbours in the term graph, where the gate lets them in."""
+    faq = cut(_faq(spark, sf_dir).select("faq_id", "source", "whole"))
+    fused = cut(_fused(spark, sf_dir))
+    hits = fused.join(faq.select("faq_id", "source"), "faq_id")
+    cases = _cases(spark, sf_dir).select(F.col("id").alias("query"), graph.query_specificity(F.col("query")).alias("specificity"))
+    signals = cases.join(graph.seed_concentration(hits, "source"), "query").join(graph.seed_informativeness(hits, faq, "faq_id", "whole"), "query")
+    out = graph.expand(fused, faq, "faq_id", "whole", graph.expansion_gate(signals))
+    return out.join(fused.select("query", "faq_id", "keyword_score"), ["query", "faq_id"], "left")
+
+
+@query
+def graph_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _expanded(spark, sf_dir).select("query", "faq_id", "score", "graph_score")
+
+
+@query
+def graph_expand_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.expand_once(_fused(spark, sf_dir), _faq(spark, sf_dir), "faq_id", "whole")
+
+
+@query
+def hybrid_graph_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole pipeline with the graph stage between fusion and boost."""
+    t = retrieval.top(_final(spark, sf_dir, _expanded(spark, sf_dir)).drop("rank"), "query", F.col("score"), "faq_id", 5)
+    return t.select("query", "faq_id", "score", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query
+def graph_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the lists of words and of embeddings add to each other, against the records whose title a query names a word of."""
+    words, like = _lists(spark, sf_dir)
+    named = retrieval.with_tokens(_faq(spark, sf_dir)).select("faq_id", F.explode("context_tokens").alias("term"))
+    asked = _cases(spark, sf_dir).select(F.col("id").alias("query"), F.explode(F.array_distinct(X.tokens(F.col("query")))).alias("term")).where("length(term) > 6")
+    want = asked.join(named, "term").select("query", F.col("faq_id").alias("item"))
+    run = lambda r: r.select("query", F.col("faq_id").alias("item"), "rank")
+    return evaluation.graph_effect(run(words), run(like), want)
+
+
+@query
+def source_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _documents(spark, sf_dir)
+    edges = graph.same_source_edges(d, "doc_id", "source", 2).select("from", "to", "weight")
+    return graph.neighbours_of(edges.unionByName(graph.shared_value_edges(d, "doc_id", "title", 0.8)), d.where("doc_id % 100 = 0"), "doc_id")
+
+
+@query
+def evidence_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence at 5 of BM25 over FAQ records, a query's expected sources being those of the records that name one of its keywords."""
+    faq = _faq(spark, sf_dir)
+    hits = retrieval.bm25(faq, "faq_id", "whole", _cases(spark, sf_dir), "id", "query", 5).join(faq, "faq_id")
+    hits = hits.withColumn("source_status", retrieval.source_status(F.col("source"), F.col("title"), F.col("content")))
+    cases = _cases(spark, sf_dir).select(F.col("id").alias("query"), F.concat("expected_sources", F.array(F.lit("kb/faq"), F.lit("kb/playbooks"), F.lit("pr/handbook"))).alias("sources"), F.col("expected_keywords").alias("keywords"))
+    return evaluation.evidence_metrics(hits, cases, 5)
+
+
+@query
+def metadata_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "rag_document")
+    line = retrieval.metadata_line(F.array("title"), F.col("metadata.page_number"), F.col("metadata.json_text_fields"), file_type=F.col("metadata.file_type"), team=F.col("metadata.team"))
+    return d.select("doc_key", line.alias("line")).distinct()
+
+
 # Social signals
 
 
-def _posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a post; fields other than engagement agree between a post's rows, and the latest engagement holds."""
-    return social.latest_posts(table(spark, sf_dir, "bulk_mock_posts"))
+def _posts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """One row a post with the columns asked for; the latest of a post's rows holds."""
+    return social.latest_posts(table(spark, sf_dir, "bulk_mock_posts"), columns)
 
 
-def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return social.with_signals(_posts(spark, sf_dir))
+def _signals(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return social.with_signals(_posts(spark, sf_dir, *social.SIGNAL_COLUMNS, *columns))
 
 
 @query
@@ -246,7 +309,7 @@ def sentiment_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def platform_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _posts(spark, sf_dir).groupBy(F.coalesce("platform", F.lit("unknown")).alias("platform")).agg(F.count("*").alias("posts"))
+    return _posts(spark, sf_dir, "platform").groupBy(F.coalesce("platform", F.lit("unknown")).alias("platform")).agg(F.count("*").alias("posts"))
 
 
 @query
@@ -261,7 +324,7 @@ def risk_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def top_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return social.keywords(_posts(spark, sf_dir), 30)
+    return social.keywords(_posts(spark, sf_dir, "tags", "metadata"), 30)
 
 
 @query
@@ -272,7 +335,7 @@ def representative_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def author_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _signals(spark, sf_dir)
+    s = _signals(spark, sf_dir, "author_id")
     return s.where("author_id IS NOT NULL").groupBy("author_id").agg(
         F.count("*").alias("posts"), F.countDistinct("platform").alias("platforms"), F.count_if(F.col("sentiment_label") == "negative").alias("negative"), F.sum("engagement_total").alias("engagement"), F.min("id").alias("first_post")
     )
@@ -280,19 +343,19 @@ def author_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def post_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return social.search(_posts(spark, sf_dir), "battery pack", platforms=["X", "forum", "news_comment"]).select("id", "platform")
+    return social.search(_posts(spark, sf_dir, "title", "content", "author", "platform", "tags", "metadata"), "battery pack", platforms=["X", "forum", "news_comment"]).select("id", "platform")
 
 
 @query
 def alias_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     aliases = {"heat pump": ["热泵", "ヒートポンプ", "bomba de calor"]}
-    return social.search(_posts(spark, sf_dir), "Heat Pump", aliases).select("id")
+    return social.search(_posts(spark, sf_dir, "title", "content", "author", "platform", "tags", "metadata"), "Heat Pump", aliases).select("id")
 
 
 @query
 def complaints_expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every variant of a query with its matches; a post is kept for the first variant it matches."""
-    posts = _posts(spark, sf_dir)
+    posts = _posts(spark, sf_dir, "title", "content", "author", "platform", "tags", "metadata")
     found = None
     for n, v in enumerate(social.query_variants("nordhay")):
         part = social.search(posts, v).select("id", F.lit(n).alias("n"), F.lit(v).alias("matched_query"))
@@ -302,14 +365,14 @@ def complaints_expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def thread_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    posts = _posts(spark, sf_dir)
+    posts = _posts(spark, sf_dir, "thread_id", "parent_id", "metadata")
     wanted = posts.where("try_cast(regexp_extract(id, '([0-9]+)$', 1) AS bigint) % 100 = 0").select(F.col("id").alias("thread"))
     return social.thread(posts, wanted)
 
 
 @query
 def comment_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _posts(spark, sf_dir).where("length(parent_id) > 0")
+    p = _posts(spark, sf_dir, "parent_id").where("length(parent_id) > 0")
     return p.groupBy("parent_id").agg(F.count("*").alias("comments"), F.min("id").alias("first_comment"))
 
 
@@ -321,15 +384,65 @@ def result_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def post_hashtags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _posts(spark, sf_dir).select("id", F.array_join(X.hashtags(F.col("tags"), F.col("content")), "|").alias("tags"))
+    return _posts(spark, sf_dir, "tags", "content").select("id", F.array_join(X.hashtags(F.col("tags"), F.col("content")), "|").alias("tags"))
 
 
 @query
 def post_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _posts(spark, sf_dir).select("id", F.posexplode("images").alias("n", "image"))
+    p = _posts(spark, sf_dir, "images").select("id", F.posexplode("images").alias("n", "image"))
     return p.where("image.url IS NOT NULL").select("id", F.col("n").cast("bigint").alias("n"), "image.url", "image.caption")
 
 
+def _matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals of the posts on batteries of a span of days, with their day where the text states one."""
+    s = social.search(_signals(spark, sf_dir, "author", "published_at"), "battery").withColumn("day", social.iso_day(F.col("published_at")))
+    return social.between(s, "day", "2025-10-01", "2026-06-30")
+
+
+@query
+def public_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return social.report(cut(_matching(spark, sf_dir).select("id", "platform", "tags", "metadata", "sentiment_label", "is_complaint", "engagement_total", "day")), "day")
+
+
+@query
+def opinion_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return social.snapshot(cut(_matching(spark, sf_dir).select("id", "platform", "tags", "metadata", "sentiment_label", "is_complaint", "engagement_total", "day")), "day")
+
+
+@query
+def posts_between(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page of results that a cursor text means, latest first, undated last."""
+    s = _matching(spark, sf_dir).select("id", "day")
+    return s.orderBy(*social.latest_first("day", "id")).offset(10).limit(20).select("id", F.col("day").cast("string").alias("day"))
+
+
+@query
+def result_cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The offset and next cursor of cursors good and bad over each platform's posts."""
+    n = _posts(spark, sf_dir, "platform").where("platform IS NOT NULL").groupBy("platform").agg(F.count("*").alias("total"))
+    c = n.select("platform", "total", F.explode(F.array(*map(F.lit, ("0", "40", "x1", "", "9000000")))).alias("cursor"))
+    at, after = social.next_cursor(F.col("total"), F.col("cursor"), 40)
+    return c.select("platform", "cursor", at.alias("at"), after.alias("next"))
+
+
+@query
+def risk_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = risk_metrics(spark, sf_dir)
+    return r.select("platform", F.array_join(social.risk_reasons(r), "; ").alias("reasons"))
+
+
+@query
+def author_platforms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return social.author_platforms(_signals(spark, sf_dir, "author_id"))
+
+
+@query
+def author_first_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _posts(spark, sf_dir, "author_id").where("author_id IS NOT NULL").select("author_id", "id")
+    t = retrieval.top(p.withColumn("same", F.lit(0)), "author_id", F.col("same"), "id", 5)
+    return t.select("author_id", "id", F.col("rank").cast("bigint").alias("rank"))
+
+
 # Dedup
 
 
@@ -446,6 +559,25 @@ def memory_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.turns(table(spark, sf_dir, "memories").select("memory_id", "content").distinct())
 
 
+@query
+def memory_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty latest pending chat records."""
+    return memory.scoped(table(spark, sf_dir, "memories").dropDuplicates(["memory_id", "updated_at"]), kinds=("chat_raw", "summary"), status="pending", limit=20).select("memory_id", F.col("updated_at").cast("timestamp_ntz").alias("updated_at"))
+
+
+@query
+def memory_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = table(spark, sf_dir, "memories")
+    named = m.where("record_type = 'decision'").select(F.concat(F.lit("memory://mysql/"), F.coalesce("conversation_id", F.lit("")), F.lit("/"), "memory_id").alias("source"))
+    return memory.by_source(m, named).select("memory_id", "record_type").distinct()
+
+
+@query
+def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = memory.turns(table(spark, sf_dir, "memories").select("memory_id", "content").distinct())
+    return routing.transcript(t.withColumnRenamed("turn", "ordinal"), "memory_id")
+
+
 # Budgets, over the events as usage
 
 
@@ -482,6 +614,21 @@ def budget_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("user_id", accounting.remaining(F.lit(70), used).cast("bigint").alias("remaining"), (used >= 70).alias("over"), (used >= 0.8 * 70).alias("warn"), F.greatest(F.lit(0), F.floor((F.lit(70) - 1 - used) / 2)).cast("bigint").alias("slots"))
 
 
+@query
+def budget_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's calls in order under two limits: 40 calls, of which 10 clicks."""
+    u = _usage(spark, sf_dir).select("event_id", "user_id", "event_type")
+    a = accounting.admit_calls(u, "user_id", "event_id", F.col("event_type") == "click", 40, 10)
+    return a.groupBy("user_id").agg(F.count_if("admitted").alias("admitted"), F.count_if(~F.col("admitted")).alias("skipped"), F.max(F.when(F.col("admitted"), F.col("event_id"))).alias("last_call"))
+
+
+@query
+def budget_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = accounting.merge_usage(_usage(spark, sf_dir), "user_id", ["model_calls", "tool_calls"], "event_type")
+    w = accounting.budget_warnings({"model_calls": F.col("model_calls"), "tool_calls": F.col("tool_calls")}, {"model_calls": 70, "tool_calls": 20})
+    return m.select("user_id", F.array_join(w, "; ").alias("warnings"))
+
+
 # Evaluation, over the labelled vectors
 
 
@@ -554,6 +701,21 @@ def state_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.reduce_state(u, "thread", "event_id")
 
 
+@query
+def role_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source's sections with the titles of the documents of their types; of all types where none has a title."""
+    d = table(spark, sf_dir, "documents").where("source IS NOT NULL AND doc_type IS NOT NULL")
+    reports = d.where("title IS NOT NULL AND doc_id % 7 = 0").select("source", F.col("doc_type").alias("role"), F.col("doc_id").alias("ordinal"), F.col("title").alias("report"))
+    plan = d.select("source").distinct().select("source", F.explode(F.array(F.struct(F.lit("news").alias("section"), F.lit("news, Blog").alias("roles")), F.struct(F.lit("rest").alias("section"), F.lit("none").alias("roles")))).alias("p")).select("source", "p.*")
+    return routing.role_evidence(plan, reports, "source")
+
+
+@query
+def tools_by_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "bulk_mock_posts").where("platform IS NOT NULL AND type IS NOT NULL")
+    return routing.tools_by_domain(p.select(F.col("platform").alias("domain"), F.col("type").alias("tool")).distinct())
+
+
 @query
 def private_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five memories each user wrote last."""
@@ -570,7 +732,7 @@ def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def admitted_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = control.admitted_units(_posts(spark, sf_dir).where("thread_id IS NOT NULL"), "thread_id", "id", 5, 2)
+    u = control.admitted_units(_posts(spark, sf_dir, "thread_id").where("thread_id IS NOT NULL"), "thread_id", "id", 5, 2)
     return u.groupBy("state").agg(F.count("*").alias("units"))
 
 

@@ -49,3 +49,9 @@ def documents(files: DataFrame) -> DataFrame:
 def previews(docs: DataFrame, limit: int = 50) -> DataFrame:
     """A listing of sources: the first 240 characters, the length and whether it was cut."""
     return docs.orderBy("source").limit(limit).select("source", "title", F.substring("content", 1, 240).alias("preview"), F.length("content").alias("chars"), (F.length("content") > 240).alias("truncated"))
+
+
+def jdbc_table(spark: SparkSession, url: str, table: str, key: str, low: int, high: int, parts: int = 64, **options: str) -> DataFrame:
+    """A database table read in ``parts`` ranges of a numeric or time key; filters and columns are pushed to the database."""
+    reader = spark.read.format("jdbc").options(url=url, dbtable=table, partitionColumn=key, lowerBound=str(low), upperBound=str(high), numPartitions=str(parts), fetchsize="10000", **options)
+    return reader.load()

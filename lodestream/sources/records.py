@@ -9,9 +9,12 @@ _LOOSE = {"multiLine": "false", "mode": "PERMISSIVE"}
 
 
 def json_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(record, file, ordinal) with the record as a variant; files holding one list or {records: [...]} are taken apart."""
-    raw = spark.read.text(path, wholetext=False).select(F.col("value"), F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("ordinal"))
-    return raw.select(F.try_parse_json("value").alias("record"), "file", "ordinal").where("record IS NOT NULL")
+    """(record, file, ordinal) with the record as a variant; a line that holds a list or {records: [...]} is taken apart."""
+    raw = spark.read.text(path, wholetext=False).select(F.col("value"), F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line"))
+    v = raw.select(F.try_parse_json("value").alias("v"), "file", "line").where("v IS NOT NULL")
+    items = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.try_variant_get("v", "$.records", "array<variant>"), F.array("v"))
+    d = v.select("file", "line", F.posexplode(items).alias("at", "record"))
+    return d.select("record", "file", F.struct("line", "at").alias("ordinal"))
 
 
 def json_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -77,3 +80,39 @@ def page_text(html: Column) -> Column:
     for a, b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         s = F.replace(s, F.lit(a), F.lit(b))
     return F.btrim(F.regexp_replace(F.regexp_replace(s, r"[ \t]+", " "), r" *\n[\s]*", "\n"))
+
+
+def whole_number(text: Column) -> Column:
+    """The whole number a text means, commas aside and fractions dropped; null where it is none."""
+    return F.floor(F.abs(F.replace(text, F.lit(","), F.lit("")).try_cast("double"))).cast("bigint") * F.when(F.btrim(text).startswith("-"), -1).otherwise(1)
+
+
+def vendor_posts(records: DataFrame, platform: str, kind: str = "social_post") -> DataFrame:
+    """Scraped items of a vendor as posts, by its many field names; one row a url, else id, else a hash; first one wins."""
+    nested = lambda leafs: [f"{o}.{x}" for o in ("author", "user") for x in leafs]
+    text = first_of("record", "content", "text", "fullText", "description", "caption", "title", "desc", "body", "message")
+    url = first_of("record", "url", "link", "postUrl", "shareUrl", "webpageUrl")
+    own = first_of("record", "id", "postId", "tweetId", "noteId", "awemeId", "shortCode", "cid", "url")
+    own = F.coalesce(own, F.substring(F.sha2(F.to_json("record"), 256), 1, 24))
+    author = first_of("record", *nested(("nickname", "name", "username", "unique_id")), "authorName", "userName", "username", "nickname", "ownerUsername", "name", "author")
+    author_id = first_of("record", *nested(("uid", "id", "secUid", "unique_id")), "authorId", "userId", "uid", "secUid", "ownerId", "username")
+    number = lambda *ps: F.coalesce(*(whole_number(F.try_variant_get("record", f"$.{p}", "string")) for p in ps), F.lit(0).cast("bigint"))
+    counts = {
+        "likes": number("likes", "likeCount", "diggCount", "favorites", "favoriteCount"), "comments": number("comments", "commentCount", "replyCount"),
+        "shares": number("shares", "shareCount", "reposts", "repostCount"), "views": number("views", "viewCount", "playCount", "videoViewCount"),
+    }
+    d = records.select(
+        "ordinal", F.concat(F.lit(f"{platform}-"), own).alias("id"), own.alias("external_id"), F.lit(platform).alias("platform"), F.coalesce(first_of("record", "type"), F.lit(kind)).alias("type"),
+        author.alias("author"), F.coalesce(author_id, author).alias("author_id"), first_of("record", "title", "headline").alias("title"), text.alias("content"),
+        first_of("record", "published_at", "createdAt", "createTime", "create_time", "timestamp", "date", "time", "publishTime").alias("published_at"), first_of("record", "sentiment", "polarity").alias("sentiment"),
+        F.struct(*(c.alias(n) for n, c in counts.items())).alias("engagement"), sum(counts.values(), F.lit(0)).alias("engagement_score"), url.alias("url"),
+        F.coalesce(F.try_variant_get("record", "$.tags", "array<string>"), F.try_variant_get("record", "$.hashtags", "array<string>"), F.array().cast("array<string>")).alias("tags"),
+    )
+    key = F.coalesce("url", "id")
+    rest = [c for c in d.columns if c != "ordinal"]
+    return d.groupBy(key.alias("k")).agg(F.min_by(F.struct(*rest), "ordinal").alias("r")).select("r.*")
+
+
+def masked_url(url: Column) -> Column:
+    """A connection address with its password as three stars."""
+    return F.regexp_replace(url, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^:/@]*):[^@/]*@", "$1:***@")

@@ -7,6 +7,7 @@ import math
 import re
 import zoneinfo
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -379,3 +380,58 @@ def test_bm25_block_and_join_agree(spark, monkeypatch):
     block = run()
     monkeypatch.setattr(retrieval, "MOST_CELLS", 0)
     assert block == run() and block
+
+
+def test_vectors_in_blocks_and_joined_agree(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(300)] + [(300, None), (301, [0.0] * 4), (302, [1.0, 2.0])]
+    v = spark.createDataFrame(rows, "id int, v array<double>")
+    for metric in ("cosine", "ip", "l2"):
+        want = retrieval.vector_top(v, "id", "v", v.where("id % 50 = 0"), metric, 5).collect()
+        m = {i: np.array(x) for i, x in rows if x and len(x) == 4}
+
+        def score(a, b, metric=metric):
+            if metric == "l2":
+                return -float(np.sqrt(((a - b) ** 2).sum()))
+            return float(a @ b) / (1 if metric == "ip" else (np.linalg.norm(a) * np.linalg.norm(b) or 1))
+
+        for q in (0, 50, 250):
+            best = sorted(((-round(score(m[i], m[q]), 6), i) for i in m if i != q))[:5]
+            assert [r.id for r in sorted(want, key=lambda r: r.rank) if r["query"] == q] == [i for _, i in best]
+        monkeypatch.setattr(retrieval, "MOST_CELLS", 8)
+        joined = retrieval.vector_top(v, "id", "v", v.where("id % 50 = 0"), metric, 5).collect()
+        monkeypatch.undo()
+        assert sorted(joined) == sorted(want)
+    assert retrieval.vector_top(v, "id", "v", v.limit(0), "ip").count() == 0 and retrieval.vector_top(v.limit(0), "id", "v", v, "ip").count() == 0
+
+
+def test_vendor_records(spark, tmp_path):
+    items = [
+        {"postId": "1", "text": "first", "likeCount": "1,204", "author": {"nickname": "Ann"}, "url": "u1", "hashtags": ["a"]},
+        {"postId": "2", "caption": "again", "url": "u1"}, {"noteId": "7", "desc": "by id", "playCount": 3.9, "userName": "Bo"}, {"desc": "nothing else"},
+    ]
+    (tmp_path / "a.jsonl").write_text(json.dumps(items[:2]) + "\n" + json.dumps({"records": items[2:3]}) + "\n" + json.dumps(items[3]) + "\nnot json\n")
+    got = {r.content: r for r in records.vendor_posts(records.json_lines(spark, str(tmp_path)), "x").collect()}
+    assert set(got) == {"first", "by id", "nothing else"}
+    assert (got["first"].id, got["first"].author, got["first"].engagement.likes, got["first"].tags) == ("x-1", "Ann", 1204, ["a"])
+    assert (got["by id"].id, got["by id"].engagement_score, got["by id"].author_id) == ("x-7", 3, "Bo")
+    assert len(got["nothing else"].external_id) == 24
+    d = spark.createDataFrame([("mysql://u:secret@h/db", "-1,200.9"), ("plain", "x")], "u string, n string").select(records.masked_url(F.col("u")).alias("u"), records.whole_number(F.col("n")).alias("n")).collect()
+    assert [tuple(r) for r in d] == [("mysql://u:***@h/db", -1200), ("plain", None)]
+
+
+def test_usage_of_messages(spark):
+    d = spark.createDataFrame([('{"usage_metadata": {"input_tokens": 0}, "response_metadata": {"usage": {"prompt_tokens": 7, "completion_tokens": 3}}}',), ('{"usage_metadata": {"total_tokens": 9}}',), ("{}",)], "j string")
+    m = d.select(F.parse_json("j").alias("m"))
+    assert [tuple(r) for r in m.select(*accounting.token_usage("m")).collect()] == [(7, 3, 10), (0, 0, 9), (0, 0, 0)]
+    lists = spark.range(1).select(accounting.ordered_union(F.array(F.lit("b"), F.lit("a")), F.array(F.lit("a"), F.lit("c"))), accounting.list_difference(F.array(F.lit(1), F.lit(2), F.lit(2)), F.array(F.lit(1))), memory.kinds_of(F.array(F.lit(" A"), F.lit("a"), F.lit("")))).first()
+    assert list(lists) == [["b", "a", "c"], [2, 2], ["a"]]
+
+
+def test_means_with_latency(spark):
+    cases = spark.createDataFrame([("a", 1.0, 1.0, 0.5, 1.0)], "query string, hit double, recall double, precision double, mrr double").withColumn("kind", F.lit("x"))
+    asked = spark.createDataFrame([("a", "x", 10.0), ("b", "x", 30.0), ("c", "y", 20.0)], "query string, kind string, ms double")
+    got = {r.kind: (r.asked, r.cases, r.hit, r.ms) for r in evaluation.with_latency(cases, asked, "kind").collect()}
+    assert got == {"x": (2, 1, 1.0, 20.0), "y": (1, 0, None, 20.0), None: (3, 1, 1.0, 20.0)}
+    judged = spark.createDataFrame([("r", 5.0, 2, 2), ("r", 3.0, 1, 2), ("s", 0.0, 0, 0)], "run string, mark double, grounded int, claims int")
+    assert {r.run: (r.score, r.groundedness) for r in evaluation.judge_scores(judged, "run").collect()} == {"r": (0.8, 0.75), "s": (0.0, 1.0)}
