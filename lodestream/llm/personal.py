@@ -181,7 +181,7 @@ def train(rows: list[tuple[str, list[tuple[int, int, str]]]], epochs: int = 8, r
                 tags[i] = LABELS.index(("B-" if k == 0 else "I-") + kind)
         if toks:
             data.append(([v(t) for _, _, t in toks], tags))
-    nf, nv = len(v.known) + 1, len(v.feats)
+    nf = len(v.known) + 1
     width = max(map(len, v.feats))
     table = np.array([f + [0] * (width - len(f)) for f in v.feats])
     shape_of = np.array(v.shape)
@@ -194,15 +194,17 @@ def train(rows: list[tuple[str, list[tuple[int, int, str]]]], epochs: int = 8, r
     rng = np.random.default_rng(seed)
     data.sort(key=lambda x: len(x[0]))
     batches = [data[i : i + 64] for i in range(0, len(data), 64)]
-    for _ in range(epochs):
+    means = [np.zeros_like(w) for w in (window, shapes, change, first)]
+    for epoch in range(epochs):
         for k in rng.permutation(len(batches)):
             batch = batches[k]
             t, b = max(len(x) for x, _ in batch), len(batch)
             ids, gold, live = np.zeros((b, t), int), np.zeros((b, t), int), np.zeros((b, t), bool)
             for i, (x, y) in enumerate(batch):
                 ids[i, : len(x)], gold[i, : len(x)], live[i, : len(x)] = x, y, True
-            by_token = window[:, table].sum(2)
-            emit = _emission(ids, by_token, shape_of, shapes).astype(np.float64)
+            seen = np.unique(np.append(ids, 0))  # a step reads and changes only the weights of the batch's tokens
+            ids = np.searchsorted(seen, ids)
+            emit = _emission(ids, window[:, table[seen]].sum(2), shape_of[seen], shapes).astype(np.float64)
             go = (change + bad).astype(np.float64)
             a = np.zeros((t, b, _L))
             a[0] = emit[:, 0] + first + first_bad
@@ -231,23 +233,29 @@ def train(rows: list[tuple[str, list[tuple[int, int, str]]]], epochs: int = 8, r
             np.add.at(grad_change, (gold[:, :-1][nxt], gold[:, 1:][nxt]), -1)
             grad_first = grad_emit[:, 0].sum(0)
             g = grad_emit[live].astype(np.float32)
-            per_token = np.zeros((2 * WINDOW + 1, nv, _L), np.float32)
+            per_token = np.zeros((2 * WINDOW + 1, len(seen), _L), np.float32)
             wide = np.pad(ids, ((0, 0), (WINDOW, WINDOW)))
             for o in range(2 * WINDOW + 1):
                 np.add.at(per_token[o], wide[:, o : o + t][live], g)
-            seen = np.unique(ids)
-            grad_window = np.zeros_like(window)
+            used, at_used = np.unique(table[seen].reshape(-1), return_inverse=True)
+            grad_window = np.zeros((2 * WINDOW + 1, len(used), _L), np.float32)
             for o in range(2 * WINDOW + 1):
-                np.add.at(grad_window[o], table[seen].reshape(-1), np.repeat(per_token[o, seen], width, 0))
-            grad_window[:, 0] = 0
-            grad_shapes = np.zeros_like(shapes)
-            buckets = _hashed(ids, shape_of)[live]
-            for k2 in range(buckets.shape[-1]):
-                np.add.at(grad_shapes, buckets[:, k2], g)
-            for w, gr, sq in zip((window, shapes, change, first), (grad_window, grad_shapes, grad_change, grad_first), squares, strict=True):
-                gr = gr / b + 2e-5 * w
-                sq += gr * gr
-                w -= rate * gr / np.sqrt(sq)
+                np.add.at(grad_window[o], at_used, np.repeat(per_token[o], width, 0))
+            grad_window[:, used == 0] = 0
+            buckets, at_bucket = np.unique(_hashed(ids, shape_of[seen])[live], return_inverse=True)
+            at_bucket = at_bucket.reshape(len(g), -1)
+            grad_shapes = np.zeros((len(buckets), _L), np.float32)
+            for k2 in range(at_bucket.shape[1]):
+                np.add.at(grad_shapes, at_bucket[:, k2], g)
+            places = ((slice(None), used), (buckets,), (slice(None),), (slice(None),))
+            for w, gr, sq, at in zip((window, shapes, change, first), (grad_window, grad_shapes, grad_change, grad_first), squares, places, strict=True):
+                gr = gr / b + 2e-5 * w[at]
+                sq[at] += gr * gr
+                w[at] -= rate * gr / np.sqrt(sq[at])
+        if epoch >= epochs // 2:  # the mean of the later epochs' weights depends less on the last batches
+            for m, w in zip(means, (window, shapes, change, first), strict=True):
+                m += w / (epochs - epochs // 2)
+    window, shapes, change, first = means
     return Model(v.known, v.shapes, window, shapes, change + bad, first + first_bad)
 
 

@@ -146,6 +146,19 @@ def test_personal_information(spark):
     assert personal.personal_information(d.limit(0), "id", ("content",), model).count() == 0
 
 
+def test_personal_on_patterns_held_out():
+    """Trained without every fifth pattern, tested on those: kinds present in a text, over all languages."""
+    kept = tuple(p for i, p in enumerate(labelled.PATTERNS) if i % 5)
+    rest = tuple(p for i, p in enumerate(labelled.PATTERNS) if not i % 5)
+    find = personal.Recogniser(personal.train(labelled.labelled_table(1, 7, kept), epochs=5))
+    rows = labelled.labelled_table(1, 99, rest)
+    found = find([t for t, _ in rows])
+    want = {(i, k) for i, (_, s) in enumerate(rows) for _, _, k in s}
+    got = {(i, k) for i, s in enumerate(found) for _, _, k in s}
+    print(f"held-out patterns: recall {len(want & got) / len(want):.3f}, precision {len(want & got) / len(got):.3f}")
+    assert len(want & got) >= 0.9 * len(want) and len(want & got) >= 0.9 * len(got)
+
+
 def test_personal_spans_across_windows(spark):
     """A long stretch without a sentence end: what lies across any place of it is found, once."""
     find = personal.Recogniser(personal.recogniser_model())
